@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from reelspan.functions.text import BLANK, name_key
 from reelspan.llm.groups import assign_splits, connected_groups
+from reelspan.llm.hyper import fit_profiles, label_documents
+from reelspan.llm.labels import labelled_sample
 from reelspan.llm.mixing import mix_sources
 from reelspan.llm.packing import pack_items
 from reelspan.llm.structure import split_oversized
@@ -97,6 +99,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1].where("NOT reachable").select("source")
 
 
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages, with confidence, of documents with a missing or wrong label and of the lines of mixed ones."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    return label_documents(docs, fit_profiles(labelled_sample(docs)))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without the confidence."""
+    return p9_languages(spark, sf_dir).select("doc_id", "line_no", "lang")
+
+
 _KEY = "replace(lower(regexp_replace({}, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), '_', '-')"
 _FOLD = "trim(regexp_replace({}, '[\\s\\pZ]+', ' ', 'g'))"
 
@@ -122,5 +135,5 @@ SELECT lower({_FOLD.format('t.source')}) AS source FROM mix_targets t LEFT JOIN
 WHERE t.max_repeats * coalesce(s.size, 0) < t.target_share * (SELECT sum(size) FROM d)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report}
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_languages": p9_languages}
 SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL}
