@@ -12,6 +12,7 @@ from reelspan.llm.labels import labelled_sample
 from reelspan.llm.mixing import mix_sources
 from reelspan.llm.packing import pack_items
 from reelspan.llm.structure import split_oversized
+from reelspan.llm.terms import map_terms
 from reelspan.llm.tokens import token_count, token_count_sql
 from reelspan.runtime import cut_lineage, read
 
@@ -68,6 +69,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece_no = 1 AND n_pieces > 1").select("item_kind", "video_id", "item_id")
 
 
+def p5_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each typed value means, with score and edits."""
+    terms = read(spark, sf_dir, "glossary_terms", "canonical", "aliases", "zh")
+    rules = read(spark, sf_dir, "entity_rules", "canonical_en", "surface_forms", "canonical_native", "canonical_zh")
+    glossary = terms.select(F.lit("glossary").alias("list_kind"), "canonical", F.explode(F.concat(F.array("canonical", "zh"), F.coalesce("aliases", F.array()))).alias("form"))
+    entity = rules.select(F.lit("entity").alias("list_kind"), F.col("canonical_en").alias("canonical"), F.explode(F.concat(F.array("canonical_en", "canonical_native", "canonical_zh"), F.coalesce("surface_forms", F.array()))).alias("form"))
+    return map_terms(read(spark, sf_dir, "term_entries", "entry_id", "list_kind", "surface_form"), glossary.unionByName(entity))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without score and edits."""
+    return p5_mapped(spark, sf_dir).select("entry_id", "canonical")
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in containers of up to 512 tokens."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", token_count(F.col("text")).alias("size"))
@@ -135,5 +150,5 @@ SELECT lower({_FOLD.format('t.source')}) AS source FROM mix_targets t LEFT JOIN
 WHERE t.max_repeats * coalesce(s.size, 0) < t.target_share * (SELECT sum(size) FROM d)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_languages": p9_languages}
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_mapped": p5_mapped, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_languages": p9_languages}
 SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL}
