@@ -21,7 +21,8 @@ ORDERS = (1, 2, 3, 4)
 MARGIN = 0.035
 #: Scale that turns cosines into a confidence.
 SHARPNESS = 40.0
-_CACHE = 400_000
+_CACHE = 200_000
+_CHUNK = 1000
 
 _LINK = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\S+|[#@][^\s#]+")
 _EVENT = re.compile(r"^\s*Dialogue:\s*(?:[^,]*,){9}")
@@ -152,7 +153,7 @@ class Profiles:
             if len(self._known) + len(new) > _CACHE:
                 self._known, self._scores = self._known[:0], self._scores[:0]
                 new = keys
-            fresh = np.concatenate([gram_vectors(_grams(new[i : i + 4096])) @ self.prototypes.T for i in range(0, len(new), 4096)])
+            fresh = np.concatenate([gram_vectors(_grams(new[i : i + 2048])) @ self.prototypes.T for i in range(0, len(new), 2048)])
             known = np.concatenate([self._known, new])
             order = np.argsort(known)
             self._known, self._scores = known[order], np.concatenate([self._scores, fresh])[order]
@@ -196,27 +197,34 @@ def fit_profiles(sample: Sequence[tuple[str, str]], *, rounds: int = 2, language
     own = [(names.index(lang), t) for lang, t in lines]
     own = [(names.index(f"{names[k]}-latin"), t) if names[k] in ("ru", "uk") and re.search("[a-z]", t) and not re.search("[а-я]", t) else (k, t) for k, t in own]
     for step in range(rounds):
-        made = [(names.index(s), f(t)) for s, (lang, f) in SPELLINGS.items() if lang in names for k, t in own if names[k] == lang]
-        texts, label = [t for _, t in own + made], np.array([k for k, _ in own + made])
-        keys, of = _keys(texts)
-        different, at = np.unique(keys, return_inverse=True)
-        counts = np.bincount(label[of] * len(different) + at, minlength=len(names) * len(different)).reshape(len(names), len(different))
-        share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-        weights = np.sqrt(share)
-        profiles = Profiles(_bundle(weights, different), base, languages)
+        tally: dict[str, list[np.ndarray]] = {"label": [], "key": [], "n": []}
+        for at in range(0, len(own), _CHUNK):
+            part = own[at : at + _CHUNK]
+            part = part + [(names.index(s), f(t)) for s, (lang, f) in SPELLINGS.items() if lang in names for k, t in part if names[k] == lang]
+            keys, of = _keys([t for _, t in part])
+            label = np.array([k for k, _ in part])[of]
+            for k in np.unique(label):
+                key, n = np.unique(keys[label == k], return_counts=True)
+                tally["label"].append(np.full(len(key), k))
+                tally["key"].append(key)
+                tally["n"].append(n)
+        different, at = np.unique(np.concatenate(tally["key"]), return_inverse=True)
+        counts = np.bincount(np.concatenate(tally["label"]) * len(different) + at, weights=np.concatenate(tally["n"]), minlength=len(names) * len(different)).reshape(len(names), len(different))
+        profiles = Profiles(_bundle(np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)), different), base, languages)
         if step == rounds - 1:
             break
-        cos = profiles.all_cosines([t for _, t in own])
-        best = cos.argmax(axis=1)
-        own = [(int(b) if c[b] - c[k] > 0.05 else k, t) for (k, t), b, c in zip(own, best, cos, strict=True)]
+        for at in range(0, len(own), _CHUNK):
+            cos = profiles.all_cosines([t for _, t in own[at : at + _CHUNK]])
+            own[at : at + _CHUNK] = [(int(c.argmax()) if c.max() - c[k] > 0.05 else k, t) for (k, t), c in zip(own[at : at + _CHUNK], cos, strict=True)]
+    profiles._forget()
     return profiles
 
 
 def _bundle(weights: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """Weighted sums of n-gram vectors, of length 1."""
     out = np.zeros((len(weights), DIM), dtype=np.float32)
-    for i in range(0, len(grams), 4096):
-        out += weights[:, i : i + 4096].astype(np.float32) @ gram_vectors(_grams(grams[i : i + 4096]))
+    for i in range(0, len(grams), 2048):
+        out += weights[:, i : i + 2048].astype(np.float32) @ gram_vectors(_grams(grams[i : i + 2048]))
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("de", "en", "es", "fr", "ja", "ru", "uk", "zh")
 #: Labelled documents, by hash of their id, on which a language model is fitted at most.
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 2000
 
 # Codes, and names of the languages in English and in the eight languages.
 NAMES = {
