@@ -11,6 +11,7 @@ from reelspan.llm.hyper import fit_profiles, label_documents
 from reelspan.llm.labels import labelled_sample
 from reelspan.llm.mixing import mix_sources
 from reelspan.llm.packing import pack_items
+from reelspan.llm.pairs import LanguageBayes, pair_defects
 from reelspan.llm.structure import split_oversized
 from reelspan.llm.terms import map_terms
 from reelspan.llm.tokens import token_count, token_count_sql
@@ -21,6 +22,16 @@ NO_AUTHOR = ("", "unknown", "n/a", "-")
 LIMITS = {"segment": 160, "cue": 84}
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments whose target is no translation of their source, with the kind of defect."""
+    model = LanguageBayes.fit(labelled_sample(read(spark, sf_dir, "documents", "doc_id", "lang", "text")))
+    kept = read(spark, sf_dir, "glossary_terms", "canonical", "policy").where("policy = 'preserve' AND canonical IS NOT NULL").select("canonical").limit(100_000)
+    return pair_defects(
+        read(spark, sf_dir, "segments", "video_id", "id", "source_text", "target_text", "ingested_at"), model, [r[0] for r in kept.collect()],
+        key=["video_id", "id"], source="source_text", target="target_text", version="ingested_at",
+    )
+
+
 def project_key(project: F.Column) -> F.Column:
     """Projects are the same if equal without outer blanks and letter case and with _ read as -."""
     return F.translate(F.lower(F.regexp_replace(project, rf"^{BLANK}+|{BLANK}+$", "")), "_", "-")
@@ -150,5 +161,5 @@ SELECT lower({_FOLD.format('t.source')}) AS source FROM mix_targets t LEFT JOIN
 WHERE t.max_repeats * coalesce(s.size, 0) < t.target_share * (SELECT sum(size) FROM d)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_mapped": p5_mapped, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_languages": p9_languages}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_mapped": p5_mapped, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_languages": p9_languages}
 SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL}
