@@ -30,6 +30,7 @@ _PREFIX = re.compile(r"^\s*(?:[-–—*•>]+\s*)?(?:译文|翻译|中文|译|tr
 _MARKUP = re.compile(r"\{[^{}]*\}|<[^<>]*>|\\[Nnh]|[​-‏⁠﻿­]")
 _CARRIED = re.compile(r"[^\s㐀-鿿぀-ヿ。，、？！：；（）《》“”]{24,}|[^\s㐀-鿿぀-ヿ。，、？！]*(?:[/\\#_@]|https?:)[^\s㐀-鿿぀-ヿ。，、？！]*")
 _LETTERS = re.compile(r"[^\W\d_]")
+_KANA = re.compile("[぀-ゟ゠-ヿ]")
 _PLAIN = re.compile(r"[\W_]+")
 
 # Ways in which a model declines, by language. The first are said of the text or the request and need no
@@ -249,7 +250,11 @@ class PairModel:
         letters = [_letters(t) for t in clean]
         asked = self.languages.posteriors([_letters(_uncarried(s or "")) for s in sources])
         given = self.languages.posteriors(letters)
-        chinese = self.languages.languages.index("zh")
+        chinese, japanese = (self.languages.languages.index(x) for x in ("zh", "ja"))
+        for i, text in enumerate(letters):  # a Japanese sentence has kana
+            if not _KANA.search(text):
+                given[i, chinese] += given[i, japanese]
+                given[i, japanese] = 0
         for i, (source, target) in enumerate(zip(sources, targets, strict=True)):
             whole = core(target)
             if is_empty(whole):
