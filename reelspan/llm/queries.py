@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.functions.text import BLANK, name_key
+from reelspan.llm.alignment import align_sentences
 from reelspan.llm.groups import assign_splits, connected_groups
 from reelspan.llm.hyper import fit_profiles, label_documents
 from reelspan.llm.labels import labelled_sample
@@ -94,6 +95,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_mapped(spark, sf_dir).select("entry_id", "canonical")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and manual Chinese lines of one video that translate each other."""
+    segments = read(spark, sf_dir, "segments", "video_id", "id", "start_s", "end_s", "source_text", "target_text", "words", "ingested_at")
+    first, last = F.expr("array_min(transform(words, w -> w.start_s))"), F.expr("array_max(transform(words, w -> w.end_s))")
+    sentences = segments.select("video_id", F.col("id").alias("key"), F.coalesce("start_s", first).alias("start"), F.coalesce("end_s", last).alias("end"), F.unix_micros("ingested_at").alias("version"), F.col("source_text").alias("text"), F.col("target_text").alias("machine"))
+    dialogues = read(spark, sf_dir, "ass_dialogues", "video_id", "dialogue_id", "layer", "start_s", "end_s", "text").where("layer = 0")
+    lines = dialogues.select("video_id", F.col("dialogue_id").alias("key"), F.col("start_s").alias("start"), F.col("end_s").alias("end"), F.lit(0).cast("bigint").alias("version"), "text")
+    return align_sentences(sentences, lines)
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in containers of up to 512 tokens."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", token_count(F.col("text")).alias("size"))
@@ -161,5 +172,5 @@ SELECT lower({_FOLD.format('t.source')}) AS source FROM mix_targets t LEFT JOIN
 WHERE t.max_repeats * coalesce(s.size, 0) < t.target_share * (SELECT sum(size) FROM d)
 """
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_mapped": p5_mapped, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_languages": p9_languages}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_mapped": p5_mapped, "p6_found": p6_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_languages": p9_languages}
 SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL}
