@@ -78,7 +78,7 @@ def latin_share(text: Column) -> Column:
 def contains_term(text: Column, term: Column) -> Column:
     """Whether a term stands in a text between characters that are no Latin letters or digits, case aside."""
     escaped = F.regexp_replace(F.lower(term), r"([.^$*+?()\[\]{}|\\-])", r"\\$1")
-    return F.lower(text).rlike(F.concat(F.lit("(^|[^a-z0-9])"), escaped, F.lit("([^a-z0-9]|$)")))
+    return F.rlike(F.lower(text), F.concat(F.lit("(^|[^a-z0-9])"), escaped, F.lit("([^a-z0-9]|$)")))
 
 
 def ass_time(ms: Column) -> Column:
