@@ -73,7 +73,7 @@ def phrase_counts(texts: DataFrame, text: str, *, at_least: int = 2) -> DataFram
     return counts.withColumn("confidence_pct", F.least(F.lit(82), 45 + 5 * F.col("n")))
 
 
-def near_forms(terms: DataFrame, term_id: str, name: str, *, most: int = 5) -> DataFrame:
+def near_forms(terms: DataFrame, term_id: str, name: str, *, most: int = 2) -> DataFrame:
     """Pairs of two-word terms that differ in one word by at most ``most`` letters: ``id_a, id_b``, lesser first.
 
     Blocked on the word they share and its place, so terms without a common word never meet.

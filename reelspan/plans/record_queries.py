@@ -61,8 +61,10 @@ def phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of glossary terms that are easily taken for one another."""
-    return D.near_forms(read(spark, sf_dir, "glossary_terms", "term_id", "canonical"), "term_id", "canonical")
+    """Pairs of spellings, right and bad ones, that are easily taken for one another."""
+    terms = read(spark, sf_dir, "glossary_terms", "canonical", "bad_aliases")
+    forms = terms.select(F.explode(F.concat(F.array("canonical"), F.coalesce("bad_aliases", F.array()))).alias("form")).select(F.trim("form").alias("form")).distinct()
+    return D.near_forms(forms, "form", "form")
 
 
 def glossary_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +162,7 @@ UNION ALL SELECT DISTINCT video_id, id, term_id, 'term_not_translated' FROM n WH
     "entity_mentions": f"WITH {T.SEGMENTS_SQL} SELECT video_id, entity_key, id, start_ms FROM (SELECT video_id, entity_key, id, start_ms, row_number() OVER (PARTITION BY video_id, entity_key ORDER BY start_ms, end_ms, id) AS k FROM seg JOIN entity_rules ON {_HAS('source_text', 'canonical_en')} WHERE end_ms > start_ms) WHERE k = 1",
     "entity_type_counts": f"WITH {T.SEGMENTS_SQL} SELECT entity_type, count(*) AS n_mentions, count(DISTINCT canonical_en) AS n_entities, count(DISTINCT video_id) AS n_videos FROM seg JOIN entity_rules ON {_HAS('source_text', 'canonical_en')} GROUP BY 1",
     "phrase_counts": f"WITH {T.SEGMENTS_SQL}, p AS (SELECT unnest(regexp_extract_all(source_text, '[A-Z][a-z]+(?: [A-Z][a-z]+){{1,2}}')) AS phrase FROM seg) SELECT phrase, count(*) AS n, least(82, 45 + 5 * count(*)) AS confidence_pct FROM p GROUP BY 1 HAVING count(*) >= 2",
-    "near_terms": "WITH w AS (SELECT term_id, string_split(lower(canonical), ' ') AS w FROM glossary_terms) SELECT DISTINCT a.term_id AS id_a, b.term_id AS id_b FROM w a JOIN w b ON a.term_id < b.term_id AND len(a.w) = 2 AND len(b.w) = 2 AND ((a.w[1] = b.w[1] AND levenshtein(a.w[2], b.w[2]) <= 5) OR (a.w[2] = b.w[2] AND levenshtein(a.w[1], b.w[1]) <= 5))",
+    "near_terms": "WITH f AS (SELECT DISTINCT trim(form) AS form FROM (SELECT unnest(list_concat([canonical], coalesce(bad_aliases, []))) AS form FROM glossary_terms)), w AS (SELECT form, string_split(lower(form), ' ') AS w FROM f) SELECT DISTINCT a.form AS id_a, b.form AS id_b FROM w a JOIN w b ON a.form < b.form AND len(a.w) = 2 AND len(b.w) = 2 AND ((a.w[1] = b.w[1] AND levenshtein(a.w[2], b.w[2]) <= 2) OR (a.w[2] = b.w[2] AND levenshtein(a.w[1], b.w[1]) <= 2))",
     "glossary_forms": f"WITH f AS (SELECT policy, unnest(list_distinct(list_concat([canonical], coalesce(aliases, [])))) AS f FROM glossary_terms) SELECT policy, count(*) AS n_forms, count(DISTINCT lower({_SQ('f')})) AS n_distinct FROM f GROUP BY 1",
     "record_duplicates": f"SELECT example_id, project_id, span_id, record_key FROM (SELECT *, row_number() OVER (PARTITION BY record_key ORDER BY coalesce(accepted, false) DESC, coalesce(use_for_span_prompt, false) DESC, created_at, example_id) AS k FROM (SELECT *, {_KEYSQL} AS record_key FROM span_translation_examples)) WHERE k = 1",
     "record_conflicts": f"""WITH {_ONE}, r AS (SELECT lower({_SQ('source_joined')}) AS s, lower({_SQ(_MAP('machine_target_by_id'))}) AS m, lower({_SQ(_MAP('manual_target_by_id'))}) AS h FROM ex), x AS (SELECT * FROM r WHERE s <> '' OR m <> '' OR h <> '')

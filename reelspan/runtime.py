@@ -16,16 +16,20 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named by the cluster in ``spark.checkpoint.dir``; only where it
+    names none (tests on one machine) a temporary one is chosen."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reelspan-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the files.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set
-    (tests on one machine) a temporary one is chosen. Losing an executor loses nothing.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="reelspan-checkpoint-"))
+    """Write ``df`` once to the shared folder and go on from the files. Losing an executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
