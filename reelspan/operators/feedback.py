@@ -96,10 +96,10 @@ def similar_examples(queries: DataFrame, records: DataFrame, *, k: int = 5, bloc
 
 
 def ranking_quality(ranked: DataFrame, *, at: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """One row: queries, share with a hit among the first k for each k (in parts per million), and mean reciprocal rank of the first hit (too)."""
+    """One row: queries, share with a hit among the first k for each k (in parts per million), and mean reciprocal rank of the first hit (too); zeros without queries."""
     first = ranked.groupBy("query_id").agg(F.min(F.when(F.col("same_project"), F.col("rank"))).alias("r"))
-    share = lambda k: F.floor(F.count_if(F.col("r") <= k) * 1_000_000 / F.count(F.lit(1)))
-    return first.agg(F.count(F.lit(1)).alias("n_queries"), *[share(k).alias(f"recall_{k}_ppm") for k in at], F.floor(F.sum(F.coalesce(F.floor(1_000_000 / F.col("r")), F.lit(0))) / F.count(F.lit(1))).alias("mrr_ppm"))
+    share = lambda k: F.coalesce(F.floor(F.try_divide(F.count_if(F.col("r") <= k) * 1_000_000, F.count(F.lit(1)))), F.lit(0))
+    return first.agg(F.count(F.lit(1)).alias("n_queries"), *[share(k).alias(f"recall_{k}_ppm") for k in at], F.coalesce(F.floor(F.try_divide(F.sum(F.coalesce(F.floor(1_000_000 / F.col("r")), F.lit(0))), F.count(F.lit(1)))), F.lit(0)).alias("mrr_ppm"))
 
 
 def edit_summary(pairs: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ UNION ALL SELECT 'merge', s, h, count(*), count(DISTINCT m) FROM x GROUP BY s, h
     "strategy_acceptance": f"WITH {_ONE} SELECT translation_strategy, count(*) AS n, count_if(accepted) AS n_accepted, CAST(sum(len(segment_ids)) AS BIGINT) AS n_segments, CAST(sum(risk_score) AS BIGINT) AS risk_sum, count(DISTINCT lower({_SQ('project_id')})) AS n_projects FROM ex GROUP BY 1",
     "append_late_records": f"WITH k AS (SELECT *, {_KEYSQL} AS rk FROM span_translation_examples) SELECT min(example_id) AS example_id FROM k WHERE created_at >= TIMESTAMP '2025-07-01' AND rk NOT IN (SELECT rk FROM k WHERE created_at < TIMESTAMP '2025-07-01') GROUP BY rk",
     "similar_examples": f"{_SIM} SELECT * FROM ranked",
-    "retrieval_quality": f"{_SIM}, f AS (SELECT query_id, min(CASE WHEN same_project THEN rank END) AS r FROM ranked GROUP BY 1) SELECT count(*) AS n_queries, CAST(floor(count_if(coalesce(r <= 1, false)) * 1000000 / count(*)) AS BIGINT) AS recall_1_ppm, CAST(floor(count_if(coalesce(r <= 3, false)) * 1000000 / count(*)) AS BIGINT) AS recall_3_ppm, CAST(floor(count_if(coalesce(r <= 5, false)) * 1000000 / count(*)) AS BIGINT) AS recall_5_ppm, CAST(floor(sum(coalesce(floor(1000000 / r), 0)) / count(*)) AS BIGINT) AS mrr_ppm FROM f",
+    "retrieval_quality": f"{_SIM}, f AS (SELECT query_id, min(CASE WHEN same_project THEN rank END) AS r FROM ranked GROUP BY 1) SELECT count(*) AS n_queries, CAST(coalesce(floor(count_if(coalesce(r <= 1, false)) * 1000000 / nullif(count(*), 0)), 0) AS BIGINT) AS recall_1_ppm, CAST(coalesce(floor(count_if(coalesce(r <= 3, false)) * 1000000 / nullif(count(*), 0)), 0) AS BIGINT) AS recall_3_ppm, CAST(coalesce(floor(count_if(coalesce(r <= 5, false)) * 1000000 / nullif(count(*), 0)), 0) AS BIGINT) AS recall_5_ppm, CAST(coalesce(floor(sum(coalesce(floor(1000000 / r), 0)) / nullif(count(*), 0)), 0) AS BIGINT) AS mrr_ppm FROM f",
     "edit_summary": f"""WITH {T.SEGMENTS_SQL}, {T.DIALOGUES_SQL}, t AS (SELECT * FROM seg WHERE end_ms > start_ms), l AS (SELECT * FROM dlg WHERE layer = 0 AND end_ms > start_ms AND {_ZH('text')}),
 p AS (SELECT t.video_id, t.id, l.dialogue_id, {_SQ('t.target_text')} AS machine, l.clean AS manual, t.end_ms - t.start_ms AS d, least(t.end_ms, l.end_ms) - greatest(t.start_ms, l.start_ms) AS o, l.start_ms AS ls FROM t JOIN l ON t.video_id = l.video_id AND t.start_ms < l.end_ms AND l.start_ms < t.end_ms),
 b AS (SELECT *, row_number() OVER (PARTITION BY video_id, id ORDER BY o DESC, ls, dialogue_id) AS k FROM p),
