@@ -133,18 +133,20 @@ def assign_splits(records: DataFrame, group: str, shares: DataFrame) -> DataFram
     sizes = records.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_size"))
     sizes = cut_lineage(sizes.withColumn("_b", F.pmod(F.xxhash64("_g"), F.lit(_BUCKETS))))
     counts = sizes.groupBy("_size").count().collect()
-    quota = allot([(r[0], r[1]) for r in counts], want)
     ends = []
-    for size, parts in quota.items():
+    for size, parts in allot([(r[0], r[1]) for r in counts], want).items():
         at = 0
         for name, k in parts:
             ends.append((size, at, at + k, name))
             at += k
     table = spark.createDataFrame(ends or [(0, 0, 0, "")], "_size long, _from long, _to long, split_name string")
-    offsets = sizes.groupBy("_size", "_b").count().withColumn("_off", F.sum("count").over(Window.partitionBy("_size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select("_size", "_b", F.coalesce("_off", F.lit(0)).alias("_off"))
+    before = Window.partitionBy("_size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.groupBy("_size", "_b").count().select("_size", "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
     ranked = (
         sizes.withColumn("_k", F.row_number().over(Window.partitionBy("_size", "_b").orderBy(F.xxhash64("_g"), "_g")))
         .join(offsets, ["_size", "_b"]).withColumn("_k", F.col("_k") + F.col("_off") - 1)
     )
-    placed = ranked.alias("r").join(table.alias("t"), (F.col("r._size") == F.col("t._size")) & (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_to"))).select("_g", "split_name")
-    return records.join(placed, records[group].eqNullSafe(placed["_g"]), "left").drop("_g")
+    inside = (F.col("r._size") == F.col("t._size")) & (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_to"))
+    placed = ranked.alias("r").join(table.alias("t"), inside).select(F.col("_g").alias("_group"), "split_name").alias("p")
+    mine = records.alias("m")
+    return mine.join(placed, F.col(f"m.{group}").eqNullSafe(F.col("p._group")), "left").select("m.*", "p.split_name")

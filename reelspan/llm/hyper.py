@@ -24,10 +24,10 @@ SHARPNESS = 40.0
 _CACHE = 200_000
 _CHUNK = 1000
 
-_LINK = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\S+|[#@][^\s#]+")
+_LINK = re.compile(r"https?://\S+|www\.\S+|[^\s@]{1,64}@[^\s@]{1,250}|[#@][^\s#]+")
 _EVENT = re.compile(r"^\s*Dialogue:\s*(?:[^,]*,){9}")
 _MARKUP = re.compile(r"\{[^}]*\}|<[^>]*>|\\[Nnh]|&\w+;")
-_QUOTED = re.compile(r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|【[^】]*】|“[^”]*”|«[^»]*»|„[^“”]*[“”]|「[^」]*」|『[^』]*』|\"[^\"]*\"")
+_QUOTED = re.compile(r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|【[^】]*】|“[^“”]*”|«[^«»]*»|„[^„“”]*[“”]|「[^「」]*」|『[^『』]*』|\"[^\"]*\"")
 _CODE = re.compile(r"\d[\d:.,]*")
 _OTHER = re.compile(r"[\W\d_]+")
 _END = re.compile(r"[.!?…。！？]")

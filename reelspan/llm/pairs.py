@@ -47,9 +47,9 @@ _WEAK = re.compile(r"(?:sorry|apolog\w+|извини\w*|прости\w*|виба
 _OWN = re.compile(r"sorry|apolog|forgive|can\s?not|can[’']?t|unable|извин|прости|не могу|вибач|не можу", re.I)
 
 _TERMINAL = ".!?…。！？"
-_TAIL = re.compile(r"[\s\"'”’»」』)\]）】>*]+$")
+_CLOSERS = " \t\n\r　 \"'”’»」』)]）】>*"
 _DANGLING = re.compile(r"(?:[,，、;；:：\-–—‐·]|……|…|\.\.+)+$")
-_BREAKS = re.compile(r"[,;:.!?…，；：。！？]+(?=\s|$|[㐀-鿿\"”’»」)])|[，；：。！？]+")
+_BREAKS = re.compile(r"(?<![,;:.!?…，；：。！？])(?:[,;:.!?…，；：。！？]+(?=\s|$|[㐀-鿿\"”’»」)])|[，；：。！？]+)")
 _ASIDE = re.compile(r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]")
 
 
@@ -158,9 +158,12 @@ def _uncarried(text: str) -> str:
 
 def body(target: str) -> tuple[str, bool]:
     """A target up to its last letter or sign, and whether a sentence end follows."""
-    t = _TAIL.sub("", target)
-    end = bool(t) and t[-1] in "。！？!?." and not _DANGLING.search(t)
-    return re.sub(r"[\W_]+$", "", t), end
+    t = target.rstrip(_CLOSERS)
+    end = bool(t) and t[-1] in "。！？!?." and not _DANGLING.search(t[-20:])
+    last = len(t)
+    while last and not (t[last - 1].isalnum()):
+        last -= 1
+    return t[:last], end
 
 
 def measures(source: str, target: str) -> tuple[bool, int, int, int]:
@@ -286,7 +289,7 @@ class PairModel:
             return False
         share = signs / letters / self.usual[1 + cyrillic]
         words, ended = body(target)
-        source_tail, target_tail = _TAIL.sub("", source)[-1:], _TAIL.sub("", target)[-1:]
+        source_tail, target_tail = source.rstrip(_CLOSERS)[-1:], target.rstrip(_CLOSERS)[-1:]
         source_ends = source_tail != "" and source_tail in _TERMINAL
         asks = source_tail == "?" and target_tail in ("？", "?")  # the question's end is there
         if share < SHORT or (fewer > 0 and share < CLAUSE_SHORT and not asks):
@@ -295,7 +298,7 @@ class PairModel:
             return False
         if asks:
             return False
-        dangles = bool(_DANGLING.search(_TAIL.sub("", target))) or (source_ends and not ended)
+        dangles = bool(_DANGLING.search(target.rstrip(_CLOSERS)[-20:])) or (source_ends and not ended)
         odds = self.stop_odds(words)
         return (dangles and (odds < 0.5 or share < COMPLETE)) or (odds < STOP_ODDS and share < COMPLETE)
 

@@ -15,8 +15,8 @@ from reelspan.functions.text import fold
 ABBREVIATIONS = frozenset("a.m. approx. ca. cf. dr. e.g. etc. fig. i.e. mr. mrs. ms. no. nos. op. p. p.m. pp. prof. sr. st. tel. vol. vs. г. гг. др. им. кв. напр. пр. прим. см. стр. т.д. т.е. т.п. тыс. ул.".split())
 CLAUSE_OPENERS = frozenset("after although and because before but if or since so that though unless until when where which while who yet а в где если и или когда который но однако поэтому потому пока что чтобы".split())
 
-_SENTENCE_END = re.compile(r"[.!?…。！？]+[\"'”’»」』)\]）】]*$")
-_CLAUSE_END = re.compile(r"[,;:—–，、；：]+[\"'”’»」』)\]）】]*$")
+_SENTENCE_END = re.compile(r"(?<![.!?…。！？])[.!?…。！？]+[\"'”’»」』)\]）】]*$")
+_CLAUSE_END = re.compile(r"(?<![,;:—–，、；：])[,;:—–，、；：]+[\"'”’»」』)\]）】]*$")
 _HEADING = re.compile(r"^\s*(#{1,6})\s|^\s*<h([1-6])\b", re.I)
 _ITEM = re.compile(r"^(\s*)(?:[-*+•]|\d+[.)]|<li\b)\s*", re.I)
 _JOINT = re.compile(r".*[/\\\-_.,;:=&?。！？，、；]", re.S)

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from reelspan.runtime import cut_lineage
 
 UNMATCHED = "(unmatched)"
+#: Letters up to which a token is repaired; no name has longer ones.
+LONGEST = 48
 
 # Words that may stand around a name without being part of it.
 AROUND = frozenset("a album an band by clip dr el feat featuring film ft group intro la late le live mr mrs ms movie of official ost outro s series sic singer song soundtrack that the thing track tv".split())
@@ -56,7 +58,10 @@ def _is_signs(token: str) -> bool:
 
 
 def deletions(token: str) -> list[str]:
-    """The token with up to as many letters deleted as it may have edits: two tokens within that distance share one."""
+    """The token with up to as many letters deleted as it may have edits: two tokens within that distance share one.
+    Tokens of more than ``LONGEST`` letters are keys of themselves only: they are matched as they are."""
+    if len(token) > LONGEST:
+        return [token]
     most = (1 if len(token) >= 4 else 0) if _is_signs(token) else 2 if len(token) >= 5 else 1 if len(token) >= 3 else 0
     out = {token}
     for k in range(1, most + 1):
