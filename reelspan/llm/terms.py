@@ -62,7 +62,7 @@ def deletions(token: str) -> list[str]:
     Tokens of more than ``LONGEST`` letters are keys of themselves only: they are matched as they are."""
     if len(token) > LONGEST:
         return [token]
-    most = (1 if len(token) >= 4 else 0) if _is_signs(token) else 2 if len(token) >= 5 else 1 if len(token) >= 3 else 0
+    most = (1 if len(token) >= 4 else 0) if _is_signs(token) else 2 if len(token) >= 4 else 1 if len(token) == 3 else 0
     out = {token}
     for k in range(1, most + 1):
         out |= {"".join(c for i, c in enumerate(token) if i not in drop) for drop in map(set, combinations(range(len(token)), k))}
