@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,8 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_BYTES = 32 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once an application, so that Python workers find it wherever they start."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="reelspan-modules-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for module in sorted(package.rglob("*.py")):
+            z.write(module, module.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the data folder, with only the named columns if any are named."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -19,6 +39,7 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, named by the cluster in ``spark.checkpoint.dir``; only where it
     names none (tests on one machine) a temporary one is chosen."""
+    ship(spark)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
