@@ -138,7 +138,7 @@ def map_terms(entries: DataFrame, references: DataFrame, *, entry_id: str = "ent
         .join(vocabulary.select("_kind", "_ref").withColumn("_key", F.explode(_deletions("_ref"))), ["_kind", "_key"])
         .select("_kind", "_token", "_ref").distinct()
         .withColumn("_edits", _edits("_token", "_ref"))
-        .where(F.col("_edits") <= F.when(F.length("_ref") <= 1, 0).when(F.length("_ref") <= 2, 0).otherwise(2))
+        .where((F.col("_edits") == 0) | ((F.col("_edits") <= 2) & (F.length("_ref") > 2) & (F.length("_token") > 2)))
     )
     signs = lambda c: F.col(c).rlike(f"^[{_SIGNS}]")
     repaired = near.withColumn("_sim", 1 - F.col("_edits") / F.greatest(F.length("_token"), F.length("_ref")))
