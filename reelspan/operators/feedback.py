@@ -111,3 +111,29 @@ def edit_summary(pairs: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.floor(R.multiset_similarity(F.col("machine"), F.col("manual")) * 10000)), F.lit(0)).cast("bigint").alias("similarity_sum_e4"),
         F.coalesce(F.sum(F.abs(F.length("machine") - F.length("manual"))), F.lit(0)).cast("bigint").alias("abs_delta_sum"),
     )
+
+
+def merge_candidates(rows: DataFrame, key: str, order: list[str], first: list[str], gather: list[str]) -> DataFrame:
+    """One row a key: of columns ``first`` the earliest value that isn't blank, of ``gather`` all values that aren't, distinct and sorted, joined by |, and ``n_rows``.
+
+    Every part is an aggregation with partial results; gathered lists hold distinct values only.
+    """
+    value = lambda c: F.when(F.trim(c) != "", F.struct(*order, F.trim(c).alias("v")))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), *[F.min(value(c))["v"].alias(c) for c in first], *[F.array_join(F.array_sort(F.collect_set(F.when(F.trim(c) != "", F.trim(c)))), "|").alias(f"all_{c}") for c in gather])
+
+
+def top_counts(rows: DataFrame, value: Column, order: list[str], k: int) -> DataFrame:
+    """``value, n``: the ``k`` most frequent values, ties by first occurrence. Null and blank values don't count."""
+    counts = rows.select(value.alias("value"), *order).where(F.trim("value") != "").groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("_first"))
+    return counts.orderBy(F.desc("n"), "_first").limit(k).select("value", "n")
+
+
+def edit_tags(machine: Column, manual: Column) -> Column:
+    """What an edit did: unchanged, surface (punctuation, case or blanks only), compressed or expanded (by a fifth or more), numbers, latin (Latin words taken out)."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    a, b, changed = F.length(plain(machine)), F.length(plain(manual)), machine != manual
+    tags = [
+        ("unchanged", ~changed), ("surface", changed & (plain(machine) == plain(manual))), ("compressed", changed & (b * 5 <= a * 4)), ("expanded", changed & (b * 4 >= a * 5)),
+        ("numbers", F.array_sort(R.numbers(machine)) != F.array_sort(R.numbers(manual))), ("latin", machine.rlike("[A-Za-z]{2}") & ~manual.rlike("[A-Za-z]{2}")),
+    ]
+    return F.array_compact(F.array(*[F.when(cond, F.lit(t)) for t, cond in tags]))

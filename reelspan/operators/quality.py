@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.functions import rules as R
-from reelspan.operators.sequences import islands, neighbours, running_last
+from reelspan.operators.sequences import neighbours, running_last, running_sums
+from reelspan.runtime import cut_lineage
 
 MAX_CPS, MAX_CHARS = 18.0, 28
 
@@ -61,20 +62,23 @@ def source_spans(segments: DataFrame, *, most: int = 8) -> DataFrame:
     """Chains of segments that belong to one sentence, cut to ``most`` segments, with reasons, score and strategy.
 
     ``video_id, span, start_id, end_id, segment_ids, start_ms, end_ms, n_segments, reason_counts, risk_score, strategy, source_joined``.
-    Joining looks at two neighbours only, so chains are islands of a running sum over time shards; a chain is cut into pieces by its rows' numbers.
+    Joining looks at two neighbours only, so chains are islands of a running sum over time shards; a chain is cut into pieces by its rows' numbers
+    from the chain's first, which running values carry too, so a chain of any length is no group. What several steps read is written once.
     A segment alone is a span only if its reasons or length ask for it. Segments without times don't count.
     """
-    own = neighbours(segments, ["video_id"], ["start_ms", "end_ms", "id", "source_text"])
-    own = source_reasons(own)
-    marked = neighbours(own.drop("prev", "next"), ["video_id"], ["end_ms", "source_text", "reasons"], after=False)
+    rows = cut_lineage(segments.select("video_id", "id", "start_ms", "end_ms", "source_text"))
+    own = cut_lineage(source_reasons(neighbours(rows, ["video_id"], ["start_ms", "end_ms", "id", "source_text"])).drop("prev", "next"))
+    marked = neighbours(own, ["video_id"], ["end_ms", "source_text", "reasons"], after=False)
     gap = F.greatest(F.col("start_ms") - F.col("prev.end_ms"), F.lit(0))
     open_before = ~R.ends_sentence(F.col("prev.source_text"))
     soft = F.array_contains("prev.reasons", "ends_with_function_word") | F.array_contains("reasons", "starts_with_continuation") | F.array_contains("prev.reasons", "short_open_fragment") | F.array_contains("reasons", "short_open_fragment") | F.array_contains("prev.reasons", "tight_next_open_clause")
     both = (R.squash(F.col("source_text")) != "") & (R.squash(F.col("prev.source_text")) != "")
     joins = both & (((gap <= 350) & open_before) | ((gap <= 750) & soft) | (F.array_contains("reasons", "starts_with_continuation") & open_before))
-    chained = islands(marked.withColumn("_opens", ~F.coalesce(joins, F.lit(False))).drop("prev"), ["video_id"], F.col("_opens"), "chain").drop("_opens")
-    place = F.row_number().over(Window.partitionBy("video_id", "chain").orderBy("start_ms", "end_ms", "id")) - 1
-    pieces = chained.withColumn("part", F.floor(place / most))
+    opens = cut_lineage(marked.withColumn("_opens", ~F.coalesce(joins, F.lit(False))).drop("prev"))
+    numbered = cut_lineage(running_sums(opens, ["video_id"], {"chain": F.when(F.col("_opens"), 1).otherwise(0), "_seq": F.lit(1)}))
+    first = F.when(F.col("_opens"), F.col("_seq"))
+    chained = running_last(numbered, ["video_id"], first, "_first").withColumn("_first", F.coalesce(first, F.col("_first")))
+    pieces = chained.withColumn("part", F.floor((F.col("_seq") - F.col("_first")) / most))
     one = F.struct("start_ms", "end_ms", "id", R.squash(F.col("source_text")).alias("text"))
     spans = pieces.groupBy("video_id", "chain", "part").agg(
         F.array_sort(F.collect_list(one)).alias("_rows"), F.flatten(F.collect_list("reasons")).alias("_reasons"), F.count(F.lit(1)).alias("n_segments"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("_last_end")

@@ -40,16 +40,23 @@ def neighbours(df: DataFrame, entity: list[str], fields: list[str], *, order: tu
     return joined.drop("_shard", "_before", "_after")
 
 
-def running_sum(df: DataFrame, entity: list[str], value: Column, name: str, *, order: tuple[str, ...] = ORDER, shard_ms: int = SHARD_MS) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over the entity's rows up to and with each row."""
+def running_sums(df: DataFrame, entity: list[str], values: dict[str, Column], *, order: tuple[str, ...] = ORDER, shard_ms: int = SHARD_MS) -> DataFrame:
+    """``df`` with a column for each of ``values``: its sum over the entity's rows up to and with each row, in one pass."""
     inside = Window.partitionBy(*entity, "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = _sharded(df, order, shard_ms).withColumn("_v", value.cast("bigint"))
-    sums = out.groupBy(*entity, "_shard").agg(F.sum("_v").alias("_total"))
+    names = list(values)
+    out = _sharded(df.drop(*names), order, shard_ms).withColumns({f"_v{k}": values[n].cast("bigint") for k, n in enumerate(names)})
+    sums = out.groupBy(*entity, "_shard").agg(*[F.sum(f"_v{k}").alias(f"_total{k}") for k in range(len(names))])
     along = Window.partitionBy(*entity).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*entity, "_shard", F.coalesce(F.sum("_total").over(along), F.lit(0)).alias("_offset"))
+    sums = sums.select(*entity, "_shard", *[F.coalesce(F.sum(f"_total{k}").over(along), F.lit(0)).alias(f"_offset{k}") for k in range(len(names))])
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in entity] + [F.col("l._shard") == F.col("r._shard")]
-    joined = out.alias("l").join(sums.alias("r"), same).select(*[F.col(f"l.{c}") for c in df.columns if c != name], F.col("l._shard").alias("_shard"), "l._v", "r._offset")
-    return joined.withColumn(name, F.coalesce(F.sum("_v").over(inside), F.lit(0)) + F.col("_offset")).drop("_shard", "_v", "_offset")
+    joined = out.alias("l").join(sums.alias("r"), same).select("l.*", *[f"r._offset{k}" for k in range(len(names))])
+    joined = joined.withColumns({n: F.coalesce(F.sum(f"_v{k}").over(inside), F.lit(0)) + F.col(f"_offset{k}") for k, n in enumerate(names)})
+    return joined.drop("_shard", *[f"_{x}{k}" for x in ("v", "offset") for k in range(len(names))])
+
+
+def running_sum(df: DataFrame, entity: list[str], value: Column, name: str, *, order: tuple[str, ...] = ORDER, shard_ms: int = SHARD_MS) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the entity's rows up to and with each row."""
+    return running_sums(df, entity, {name: value}, order=order, shard_ms=shard_ms)
 
 
 def running_last(df: DataFrame, entity: list[str], value: Column, name: str, *, order: tuple[str, ...] = ORDER, shard_ms: int = SHARD_MS) -> DataFrame:

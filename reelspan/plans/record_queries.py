@@ -11,7 +11,7 @@ from reelspan.operators import dictionary as D
 from reelspan.operators import feedback as B
 from reelspan.operators.overlap import best_overlap
 from reelspan.operators.sequences import first_mentions
-from reelspan.plans.quality_queries import _SQ, _ZH
+from reelspan.plans.quality_queries import _NUM, _SQ, _ZH
 from reelspan.runtime import read
 
 
@@ -132,6 +132,29 @@ def edit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.edit_summary(best)
 
 
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = T.timed(T.dialogues(spark, sf_dir)).where((F.col("layer") == 0) & R.has_chinese(F.col("text"))).select("video_id", "dialogue_id", "start_ms", "end_ms", T.clean_dialogue(F.col("text")).alias("manual"))
+    left = T.timed(T.segments(spark, sf_dir)).select("video_id", "id", "start_ms", "end_ms", R.squash(F.col("target_text")).alias("machine"))
+    return best_overlap(left, lines, "video_id", ["video_id", "id"], "dialogue_id").select("l.video_id", "l.id", "l.machine", "r.manual").where("machine <> '' AND manual <> ''")
+
+
+def edit_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of edits between machine targets and manual lines, and in how many videos."""
+    tagged = _edits(spark, sf_dir).select("video_id", F.explode(B.edit_tags(F.col("machine"), F.col("manual"))).alias("tag"))
+    return tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("video_id").alias("n_videos"))
+
+
+def merged_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a video of all its projects: earliest title and description, all authors."""
+    meta = read(spark, sf_dir, "source_meta", "video_id", "project_id", "title", "description", "author", "published_at").distinct()
+    return B.merge_candidates(meta, "video_id", ["published_at", "project_id"], ["title", "description"], ["author"])
+
+
+def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 most frequent source texts."""
+    return B.top_counts(T.segments(spark, sf_dir), R.squash(F.col("source_text")), ["video_id", "id"], 20)
+
+
 _LIT = lambda c: f"regexp_replace(lower({c}), '([.^$*+?()\\[\\]{{}}|\\\\-])', '\\\\\\1', 'g')"
 _HAS = lambda text, term: f"(contains(lower({text}), lower({term})) AND regexp_matches(lower({text}), '(^|[^a-z0-9])' || {_LIT(term)} || '([^a-z0-9]|$)'))"
 _MAP = lambda c: f"array_to_string(list_transform(list_sort(coalesce(map_keys({c}), [])), lambda k: k || ':' || coalesce({c}[k], '')), '|')"
@@ -148,7 +171,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ex
 
 QUERIES = {f.__name__: f for f in (
     glossary_hits, glossary_consistency, alias_corrections, entity_mentions, entity_type_counts, phrase_counts, near_terms, glossary_forms, record_duplicates, record_conflicts,
-    prompt_examples, reason_totals, strategy_acceptance, append_late_records, similar_examples, retrieval_quality, edit_summary,
+    prompt_examples, reason_totals, strategy_acceptance, append_late_records, similar_examples, retrieval_quality, edit_summary, edit_tag_counts, merged_videos, top_sources,
 )}
 
 SQL = {
@@ -175,6 +198,17 @@ UNION ALL SELECT 'merge', s, h, count(*), count(DISTINCT m) FROM x GROUP BY s, h
     "append_late_records": f"WITH k AS (SELECT *, {_KEYSQL} AS rk FROM span_translation_examples) SELECT min(example_id) AS example_id FROM k WHERE created_at >= TIMESTAMP '2025-07-01' AND rk NOT IN (SELECT rk FROM k WHERE created_at < TIMESTAMP '2025-07-01') GROUP BY rk",
     "similar_examples": f"{_SIM} SELECT * FROM ranked",
     "retrieval_quality": f"{_SIM}, f AS (SELECT query_id, min(CASE WHEN same_project THEN rank END) AS r FROM ranked GROUP BY 1) SELECT count(*) AS n_queries, CAST(coalesce(floor(count_if(coalesce(r <= 1, false)) * 1000000 / nullif(count(*), 0)), 0) AS BIGINT) AS recall_1_ppm, CAST(coalesce(floor(count_if(coalesce(r <= 3, false)) * 1000000 / nullif(count(*), 0)), 0) AS BIGINT) AS recall_3_ppm, CAST(coalesce(floor(count_if(coalesce(r <= 5, false)) * 1000000 / nullif(count(*), 0)), 0) AS BIGINT) AS recall_5_ppm, CAST(coalesce(floor(sum(coalesce(floor(1000000 / r), 0)) / nullif(count(*), 0)), 0) AS BIGINT) AS mrr_ppm FROM f",
+    "edit_tag_counts": f"""WITH {T.SEGMENTS_SQL}, {T.DIALOGUES_SQL}, t AS (SELECT * FROM seg WHERE end_ms > start_ms), l AS (SELECT * FROM dlg WHERE layer = 0 AND end_ms > start_ms AND {_ZH('text')}),
+p AS (SELECT t.video_id, t.id, l.dialogue_id, {_SQ('t.target_text')} AS machine, l.clean AS manual, t.end_ms - t.start_ms AS d, least(t.end_ms, l.end_ms) - greatest(t.start_ms, l.start_ms) AS o, l.start_ms AS ls FROM t JOIN l ON t.video_id = l.video_id AND t.start_ms < l.end_ms AND l.start_ms < t.end_ms),
+b AS (SELECT *, row_number() OVER (PARTITION BY video_id, id ORDER BY o DESC, ls, dialogue_id) AS k FROM p),
+c AS (SELECT *, regexp_replace(lower(machine), '[^\\pL\\pN]+', '', 'g') AS x, regexp_replace(lower(manual), '[^\\pL\\pN]+', '', 'g') AS y FROM b WHERE k = 1 AND o >= 0.35 * d AND machine <> '' AND manual <> ''),
+tg AS (SELECT video_id, unnest([CASE WHEN machine = manual THEN 'unchanged' END, CASE WHEN machine <> manual AND x = y THEN 'surface' END, CASE WHEN machine <> manual AND length(y) * 5 <= length(x) * 4 THEN 'compressed' END, CASE WHEN machine <> manual AND length(y) * 4 >= length(x) * 5 THEN 'expanded' END,
+  CASE WHEN list_sort({_NUM('machine')}) <> list_sort({_NUM('manual')}) THEN 'numbers' END, CASE WHEN regexp_matches(machine, '[A-Za-z]{{2}}') AND NOT regexp_matches(manual, '[A-Za-z]{{2}}') THEN 'latin' END]) AS tag FROM c)
+SELECT tag, count(*) AS n, count(DISTINCT video_id) AS n_videos FROM tg WHERE tag IS NOT NULL GROUP BY 1""",
+    "merged_videos": """WITH m AS (SELECT DISTINCT video_id, project_id, title, description, author, published_at FROM source_meta)
+SELECT video_id, count(*) AS n_rows, arg_min(trim(title), (published_at, project_id, trim(title))) FILTER (WHERE trim(title) <> '') AS title, arg_min(trim(description), (published_at, project_id, trim(description))) FILTER (WHERE trim(description) <> '') AS description,
+coalesce(array_to_string(list_sort(list(DISTINCT trim(author)) FILTER (WHERE trim(author) <> '')), '|'), '') AS all_author FROM m GROUP BY 1""",
+    "top_sources": f"WITH {T.SEGMENTS_SQL}, v AS (SELECT {_SQ('source_text')} AS value, video_id, id FROM seg) SELECT value, count(*) AS n FROM v WHERE value <> '' GROUP BY 1 ORDER BY n DESC, min((video_id, id)) LIMIT 20",
     "edit_summary": f"""WITH {T.SEGMENTS_SQL}, {T.DIALOGUES_SQL}, t AS (SELECT * FROM seg WHERE end_ms > start_ms), l AS (SELECT * FROM dlg WHERE layer = 0 AND end_ms > start_ms AND {_ZH('text')}),
 p AS (SELECT t.video_id, t.id, l.dialogue_id, {_SQ('t.target_text')} AS machine, l.clean AS manual, t.end_ms - t.start_ms AS d, least(t.end_ms, l.end_ms) - greatest(t.start_ms, l.start_ms) AS o, l.start_ms AS ls FROM t JOIN l ON t.video_id = l.video_id AND t.start_ms < l.end_ms AND l.start_ms < t.end_ms),
 b AS (SELECT *, row_number() OVER (PARTITION BY video_id, id ORDER BY o DESC, ls, dialogue_id) AS k FROM p),
