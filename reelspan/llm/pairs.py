@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.llm.hyper import sentence_text
@@ -225,9 +225,9 @@ def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class PairModel:
-    """What the classification needs: the language model, stops after sign pairs, usual target lengths, terms that stay as they are."""
+    """What the classification needs: the language model, stops after sign pairs, usual target lengths."""
 
-    def __init__(self, languages: LanguageBayes, counts: Sequence[tuple[int, int, int, int]], kept_terms: Sequence[str]):
+    def __init__(self, languages: LanguageBayes, counts: Sequence[tuple[int, int, int, int]]):
         self.languages = languages
         self.total, self.stopped = np.zeros(1 << STOP_BITS), np.zeros(1 << STOP_BITS)
         bins = np.zeros((3, _RATIO_BINS))
@@ -237,7 +237,6 @@ class PairModel:
             else:
                 bins[kind, key] = n
         self.usual = [0.3, *(((np.searchsorted(np.cumsum(b), b.sum() / 2) + 0.5) / 200 if b.sum() else 0.3) for b in bins[1:])]
-        self.kept = frozenset(re.sub(r"[\W\d_]+", "", t).lower() for t in kept_terms if t) - {""}
 
     def stop_odds(self, text: str) -> float:
         """How often a sentence ends after the last two signs of a text, over all targets, without this one."""
@@ -247,7 +246,8 @@ class PairModel:
         k = _bucket(np.array([ord(text[-2])]), np.array([ord(text[-1])]))[0]
         return max(0.0, self.stopped[k] - 1) / max(1.0, self.total[k] - 1)
 
-    def defects(self, sources: Sequence[str | None], targets: Sequence[str | None]) -> list[str | None]:
+    def defects(self, sources: Sequence[str | None], targets: Sequence[str | None], kept: Sequence[bool]) -> list[str | None]:
+        """The defect of each pair, if it has one; ``kept`` says which sources are just a term that stays as it is."""
         out: list[str | None] = [None] * len(sources)
         clean = [_uncarried(core(t)) for t in targets]
         letters = [_letters(t) for t in clean]
@@ -267,7 +267,7 @@ class PairModel:
             foreign = given[i, chinese] < 0.5 and bool(letters[i])
             has_source = source is not None and bool(source.strip())
             if has_source and not signs and likeness(source, whole) >= COPY:
-                if re.sub(r"[\W\d_]+", "", source).lower() not in self.kept:
+                if not kept[i]:
                     out[i] = "copy"
                 continue
             if _STRONG.search(whole) and not (has_source and _STRONG.search(source)) or _WEAK.search(whole) and not (has_source and _OWN.search(source)):
@@ -306,12 +306,18 @@ class PairModel:
 SCHEMA = "kind int, key bigint, n bigint, m bigint"
 
 
-def pair_defects(pairs: DataFrame, languages: LanguageBayes, kept_terms: Sequence[str], *, key: list[str], source: str, target: str, version: str) -> DataFrame:
+def _term(text: Column) -> Column:
+    """A text's letters, lower-cased: what it says but for numbers and punctuation."""
+    return F.lower(F.regexp_replace(text, r"\P{L}+", ""))
+
+
+def pair_defects(pairs: DataFrame, languages: LanguageBayes, kept_terms: DataFrame | Sequence[str], *, key: list[str], source: str, target: str, version: str) -> DataFrame:
     """``*key, defect`` for each pair with a defect: empty, copy, refusal, wrong_language or truncated.
 
     Two passes. The first counts over all pairs, into tables of fixed size, how often targets stop after each two
     signs and how long they are for their sources; the second compares the language posteriors of prompt and response and flags the rest by
-    those counts. Only (key, version, defect) is shuffled, to count repeated rows once, by the latest version. Texts are read whole.
+    those counts. Sources that are just a term of ``kept_terms`` (a column ``term``, or a list) are found by a join, whose side Spark
+    sends round only if it is small. Only (key, version, defect) is shuffled, to count repeated rows once, by the latest version. Texts are read whole.
 
     Cases: a null, blank or filler target is 'empty' whatever the source; null or blank sources have no other defect but refusal
     and wrong language; sources that are just a kept term may be repeated; a key with nulls is a key; no rows, no
@@ -320,16 +326,20 @@ def pair_defects(pairs: DataFrame, languages: LanguageBayes, kept_terms: Sequenc
     spark = pairs.sparkSession
     texts = pairs.select(*key, F.col(version).alias("_version"), F.col(source).alias("source"), F.col(target).alias("target"))
     counts = texts.select("source", "target").mapInPandas(tally, SCHEMA).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    model = spark.sparkContext.broadcast(PairModel(languages, [tuple(r) for r in counts.collect()], kept_terms))
+    sums = counts.toArrow()  # cells of fixed number
+    model = spark.sparkContext.broadcast(PairModel(languages, list(zip(*(sums.column(c).to_pylist() for c in ("kind", "key", "n", "m")), strict=True))))
+    terms = kept_terms if isinstance(kept_terms, DataFrame) else spark.createDataFrame([(t,) for t in kept_terms], "term string")
+    terms = terms.select(_term(F.col("term")).alias("_term")).where("_term <> ''").distinct().withColumn("_kept", F.lit(True))
+    marked = texts.withColumn("_term", _term(F.col("source"))).join(terms, "_term", "left").select(*texts.columns, F.coalesce("_kept", F.lit(False)).alias("_kept"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
             for at in range(0, len(pdf), 2000):
-                found += model.value.defects(pdf["source"].iloc[at : at + 2000].tolist(), pdf["target"].iloc[at : at + 2000].tolist())
-            yield pdf.drop(columns=["source", "target"]).assign(defect=[d or "" for d in found])
+                found += model.value.defects(*(pdf[c].iloc[at : at + 2000].tolist() for c in ("source", "target", "_kept")))
+            yield pdf.drop(columns=["source", "target", "_kept"]).assign(defect=[d or "" for d in found])
 
     types = {f.name: f.dataType.simpleString() for f in texts.schema}
-    flagged = texts.mapInPandas(work, ", ".join([*(f"{k} {types[k]}" for k in key), f"_version {types['_version']}", "defect string"]))
+    flagged = marked.mapInPandas(work, ", ".join([*(f"{k} {types[k]}" for k in key), f"_version {types['_version']}", "defect string"]))
     latest = flagged.groupBy(*key).agg(F.max(F.struct("_version", "defect")).alias("_x"))
     return latest.where("_x.defect <> ''").select(*key, F.col("_x.defect").alias("defect"))

@@ -26,9 +26,9 @@ LIMITS = {"segment": 160, "cue": 84}
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments whose target is no translation of their source, with the kind of defect."""
     model = LanguageBayes.fit(labelled_sample(read(spark, sf_dir, "documents", "doc_id", "lang", "text")))
-    kept = read(spark, sf_dir, "glossary_terms", "canonical", "policy").where("policy = 'preserve' AND canonical IS NOT NULL").select("canonical").limit(100_000)
+    kept = read(spark, sf_dir, "glossary_terms", "canonical", "policy").where("policy = 'preserve'").select(F.col("canonical").alias("term"))
     return pair_defects(
-        read(spark, sf_dir, "segments", "video_id", "id", "source_text", "target_text", "ingested_at"), model, [r[0] for r in kept.collect()],
+        read(spark, sf_dir, "segments", "video_id", "id", "source_text", "target_text", "ingested_at"), model, kept,
         key=["video_id", "id"], source="source_text", target="target_text", version="ingested_at",
     )
 
