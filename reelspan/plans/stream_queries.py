@@ -23,13 +23,13 @@ def _checkpoint(spark: SparkSession) -> str:
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day and type, from a stream in complete mode."""
     counts = L.windowed_counts(L.event_stream(spark, sf_dir))
-    return L.run_available(counts, spark, f"counts_{uuid.uuid4().hex}", _checkpoint(spark), mode="complete").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    return L.run_available(counts, spark, _checkpoint(spark), mode="complete").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 def stream_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events numbered by user, from a stream with state."""
     events = L.event_stream(spark, sf_dir).withColumn("ts_us", F.unix_micros("ts")).drop("ts")
-    return L.run_available(L.sequenced(events, "user_id", "ts_us", payload="event_id"), spark, "", _checkpoint(spark)).select("user_id", "seq", "event_id")
+    return L.run_available(L.sequenced(events, "user_id", "ts_us", payload="event_id"), spark, _checkpoint(spark)).select("user_id", "seq", "event_id")
 
 
 def latest_event_state(spark: SparkSession, sf_dir: str) -> DataFrame:

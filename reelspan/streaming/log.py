@@ -54,11 +54,12 @@ def claimable(jobs: DataFrame, now_ms: int, *, waiting: tuple[str, ...] = ("queu
     return jobs.where(F.col("status").isin(*waiting) | (F.col("status").isin(*held) & (F.col("lease_until_ms") < now_ms))).orderBy("created_ms", "job_id")
 
 
-def run_available(stream: DataFrame, spark: SparkSession, name: str, checkpoint: str, *, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its rows, from files under the checkpoint's folder for appends and from memory for complete results."""
+def run_available(stream: DataFrame, spark: SparkSession, checkpoint: str, *, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there and returns its rows from files under the checkpoint's folder; of complete results those of the last batch."""
+    out = f"{checkpoint}/rows"
     if mode == "append":
-        out = f"{checkpoint}/rows"
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(out)
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+        writer = stream.writeStream.format("parquet").option("path", out)
+    else:
+        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    writer.option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)

@@ -78,7 +78,7 @@ def test_sequence_numbers_go_on_over_batches(spark, tmp_path):
     for part in ([(1, "2024-01-01 00:00:02", 7, "a", 1.0, ""), (2, "2024-01-01 00:00:01", 7, "a", 1.0, "")], [(3, "2024-01-02 00:00:00", 7, "b", 2.0, ""), (4, "2024-01-02 00:00:00", 8, "b", 2.0, "")]):
         events(spark, part, src)
         stream = L.event_stream(spark, src, "*.parquet").withColumn("ts_us", F.unix_micros("ts")).drop("ts")
-        out = L.run_available(L.sequenced(stream, "user_id", "ts_us", payload="event_id"), spark, "", ck)
+        out = L.run_available(L.sequenced(stream, "user_id", "ts_us", payload="event_id"), spark, ck)
     assert sorted((r.user_id, r.seq, r.event_id) for r in out.collect()) == [(7, 1, 2), (7, 2, 1), (7, 3, 3), (8, 1, 4)]
 
 
