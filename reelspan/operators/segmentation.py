@@ -300,8 +300,19 @@ def merge_short_cues(cues: DataFrame, *, max_single_ms: int = 1200, max_gap_ms:
     return renumber(made.withColumn("id", F.col("cue_ids")[0]), ["video_id"], "group").select("video_id", "group", "cue_ids", "start_ms", "end_ms", "text")
 
 
-def difficult_spans(segments: DataFrame, *, most: int = 10, island_ms: int = 30_000) -> DataFrame:
-    """``video_id, start_id, end_id, n_segments, score, severity``: around each segment with risk, the neighbours that belong to its sentence; touching spans are one, of at most ``most`` segments."""
+def span_severity(codes: set[str], score: int) -> str:
+    """Severity of a span by all codes and the score of its segments."""
+    edge = bool(codes & {"source_starts_with_continuation", "source_ends_with_open_word"})
+    if "target_too_short" in codes or ("target_open_ending" in codes and edge and score >= 10):
+        return "high"
+    return "medium" if score >= 4 else "low"
+
+
+def difficult_spans(segments: DataFrame, *, least: int = 2, most: int = 10, island_ms: int = 30_000) -> DataFrame:
+    """``video_id, start_id, end_id, n_segments, score, severity``: around each segment with a risk score of ``least`` (2) or more, the neighbours that belong to its sentence.
+
+    Spans that touch are one, cut to ``most`` segments: a segment with risk that reaches back to a span that is already full opens none of its own.
+    """
     codes = risk_codes(F.col("source_text"), F.col("target_text"), F.col("start_ms"), F.col("end_ms"))
     rows = segments.where("start_ms IS NOT NULL AND end_ms > start_ms").select(
         "video_id", "id", "start_ms", "end_ms", R.ends_sentence(F.col("source_text")).alias("ended"), R.opens_with_continuation(F.col("source_text")).alias("goes_on"),
@@ -312,7 +323,7 @@ def difficult_spans(segments: DataFrame, *, most: int = 10, island_ms: int = 30_
         rows = pdf.sort_values(["start_ms", "end_ms", "id"]).to_dict("records")
         ranges: list[list[int]] = []
         for k, row in enumerate(rows):
-            if row["score"] < 4:
+            if row["score"] < least:
                 continue
             a = b = k
             while a > 0 and b - a + 1 < most and not (rows[a - 1]["ended"] and not rows[a]["goes_on"]):
@@ -327,8 +338,8 @@ def difficult_spans(segments: DataFrame, *, most: int = 10, island_ms: int = 30_
         for a, b in ranges:
             part = rows[a : b + 1]
             score = sum(r["score"] for r in part)
-            high = any("target_too_short" in r["codes"] for r in part) or score >= 14
-            out.append((part[0]["video_id"], part[0]["id"], part[-1]["id"], len(part), score, "high" if high else "medium" if score >= 4 else "low"))
+            found = {c for r in part for c in r["codes"].split(",")}
+            out.append((part[0]["video_id"], part[0]["id"], part[-1]["id"], len(part), score, span_severity(found, score)))
         return pd.DataFrame(out, columns=["video_id", "start_id", "end_id", "n_segments", "score", "severity"])
 
     return _fold(_by_island(rows, island_ms), work, "video_id string, start_id bigint, end_id bigint, n_segments int, score int, severity string")

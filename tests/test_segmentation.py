@@ -82,3 +82,18 @@ def test_difficult_spans(spark):
     rows = [("v", 1, 0, 2000, "The first part of a story", "的"), ("v", 2, 2100, 4000, "and the second part.", "第二部分。"), ("v", 3, 4100, 6000, "All fine here.", "这里都好。")]
     got = S.difficult_spans(spark.createDataFrame(rows, "video_id string, id long, start_ms long, end_ms long, source_text string, target_text string")).collect()
     assert [(r.start_id, r.end_id, r.severity) for r in got] == [(1, 2, "high")]
+
+
+def test_difficult_spans_open_at_a_score_of_two(spark):
+    rows = [
+        ("v", 1, 0, 2000, "All is well here.", "这里一切都好。"), ("v", 2, 2100, 4000, "He left the old house.", "他离开了老房子，"), ("v", 3, 4100, 6000, "Nothing moved outside.", "外面没有动静。"),
+        ("w", 1, 0, 2000, "He came back to", "他回到了那里。"), ("w", 2, 2100, 4000, "the empty house.", "空房子。"), ("x", 1, 0, 2000, "This one stays open", "这句没有结尾。"),
+    ]
+    got = S.difficult_spans(spark.createDataFrame(rows, "video_id string, id long, start_ms long, end_ms long, source_text string, target_text string")).collect()
+    assert sorted((r.video_id, r.start_id, r.end_id, r.score, r.severity) for r in got) == [("v", 2, 3, 2, "low"), ("w", 1, 2, 3, "low")]
+
+
+def test_span_severity():
+    assert S.span_severity({"source_open_clause", "number_mismatch"}, 20) == "medium"
+    assert S.span_severity({"target_open_ending", "source_ends_with_open_word"}, 10) == "high"
+    assert S.span_severity({"target_open_ending", "source_ends_with_open_word"}, 9) == "medium"
