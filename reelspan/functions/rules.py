@@ -12,6 +12,16 @@ OPEN_END_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "his", "in"
 CONTINUATION_WORDS = ("and", "because", "but", "or", "so", "that", "then", "when", "which", "while", "who", "yet")
 OPEN_TARGET_ENDS = ("，", "、", "；", "和", "与", "及", "并", "而", "但", "被", "把", "在", "从", "对", "向", "为", "由", "是", "以", "的")
 DISCOURSE_MARKERS = ("well", "yeah", "okay", "ok", "oh", "hey", "um", "uh", "you know", "i mean", "all right", "alright")
+# English words that a Chinese target should not keep, scripts it should not hold (first and last code points), signs of broken encoding.
+LEFT_MARKERS = (
+    "actually", "again", "alright", "and", "anyway", "basically", "because", "but", "cause", "exactly", "honestly", "i", "i'd", "i'll", "i'm", "i've", "im", "just", "like", "literally", "maybe",
+    "okay", "ok", "right", "see", "seriously", "so", "sure", "that's", "thats", "there's", "theres", "then", "though", "well", "yeah", "yep", "yes", r"there\s+(?:is|are|was|were)",
+)
+TARGET_SCRIPTS = (
+    (0x0370, 0x052F), (0x0590, 0x074F), (0x0780, 0x07BF), (0x0900, 0x0AFF), (0x0B00, 0x0D7F), (0x0E00, 0x0EFF), (0x1100, 0x11FF), (0xAC00, 0xD7AF),
+)
+BROKEN = "\ufffd|锟斤拷|â€[™œ“”¦–—]|ï¼|ã€|[銆锛鏄]|鐨勬|涓嶅|浠栧|杩欐"
+BROKEN_HINTS = "鐨浠涓鍦鏄杩瀹緇絜嬪勬堕戣"
 
 CJK = r"[\x{3400}-\x{9fff}]"
 TERMINAL = r"[.!?。！？][\"')\]]*$"
@@ -69,6 +79,26 @@ def severity(value: Column, soft: float, hard: float) -> Column:
     return F.when(value > hard, "hard").when(value > soft, "soft")
 
 
+def polluted(text: Column) -> Column:
+    """Whether a Chinese text holds an unwanted script or signs of broken encoding, four different hints of it at least."""
+    scripts = "".join(rf"\x{{{a:04x}}}-\x{{{b:04x}}}" for a, b in TARGET_SCRIPTS)
+    hints = F.array_distinct(F.regexp_extract_all(text, F.lit(f"([{BROKEN_HINTS}])"), 1))
+    return text.rlike(f"[{scripts}]|{BROKEN}") | (F.size(hints) >= 4)
+
+
+def leaves_marker(text: Column) -> Column:
+    """Whether a text with Chinese signs keeps an English marker."""
+    plain = F.translate(text, "`’", "''")
+    return has_chinese(text) & plain.rlike(rf"(?iu)(?<![A-Za-z0-9_.-])(?:{'|'.join(LEFT_MARKERS)})(?![A-Za-z0-9_-])")
+
+
+def repeats_phrase(text: Column) -> Column:
+    """Whether a sentence of two to six Latin words stands in a text twice, case and other signs aside."""
+    words = lambda p: F.transform(F.regexp_extract_all(p, F.lit(r"([A-Za-z][A-Za-z0-9'.-]*)"), 1), lambda w: F.regexp_replace(F.lower(w), "'+$", ""))
+    said = F.filter(F.transform(F.split(text, "[.!?。！？]+"), words), lambda p: F.size(p).between(2, 6))
+    return text.rlike("[.!?。！？].*[A-Za-z]") & (F.size(F.array_distinct(said)) < F.size(said))
+
+
 def latin_share(text: Column) -> Column:
     """Latin letters among visible characters; 0 for empty text."""
     seen = visible_length(text)

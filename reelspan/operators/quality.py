@@ -31,6 +31,19 @@ def risk_codes(source: Column, target: Column, start_ms: Column, end_ms: Column,
         ("target_cps_very_high", 2, zh & (cps >= max_cps * 1.25)),
         ("target_line_long", 1, zh & (R.visible_length(t) > max_chars)),
     ]
+    return _codes(found)
+
+
+def text_codes(source: Column, target: Column) -> Column:
+    """Weighted findings on the texts alone, as ``risk_codes`` gives them: foreign script or broken encoding, an English marker left (twice, as marker and as fragment), a phrase said twice."""
+    s, t = R.squash(source), R.squash(target)
+    return _codes([
+        ("target_text_pollution", 6, R.polluted(t)), ("target_untranslated_discourse_marker", 6, R.leaves_marker(t)),
+        ("target_short_english_leak", 7, R.leaves_marker(t)), ("source_repeated_short_phrase", 4, R.repeats_phrase(s)),
+    ])
+
+
+def _codes(found: list[tuple[str, int, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(w).alias("weight"))) for code, w, cond in found]))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions import rules as R
-from reelspan.operators.quality import risk_codes
+from reelspan.operators.quality import risk_codes, text_codes
 from reelspan.operators.sequences import islands, neighbours, renumber
 
 
@@ -303,7 +303,9 @@ def merge_short_cues(cues: DataFrame, *, max_single_ms: int = 1200, max_gap_ms:
 def span_severity(codes: set[str], score: int) -> str:
     """Severity of a span by all codes and the score of its segments."""
     edge = bool(codes & {"source_starts_with_continuation", "source_ends_with_open_word"})
-    if "target_too_short" in codes or ("target_open_ending" in codes and edge and score >= 10):
+    if codes & {"target_too_short", "target_text_pollution", "target_untranslated_discourse_marker", "target_short_english_leak"}:
+        return "high"
+    if ("source_repeated_short_phrase" in codes and score >= 8) or ("target_open_ending" in codes and edge and score >= 10):
         return "high"
     return "medium" if score >= 4 else "low"
 
@@ -313,14 +315,18 @@ def difficult_spans(segments: DataFrame, *, least: int = 2, most: int = 10, isla
 
     Spans that touch are one, cut to ``most`` segments: a segment with risk that reaches back to a span that is already full opens none of its own.
     """
-    codes = risk_codes(F.col("source_text"), F.col("target_text"), F.col("start_ms"), F.col("end_ms"))
-    rows = segments.where("start_ms IS NOT NULL AND end_ms > start_ms").select(
+    texts = segments.withColumns({"source_text": R.squash(F.col("source_text")), "target_text": R.squash(F.col("target_text"))})
+    codes = F.concat(risk_codes(F.col("source_text"), F.col("target_text"), F.col("start_ms"), F.col("end_ms")), text_codes(F.col("source_text"), F.col("target_text")))
+    rows = texts.where("start_ms IS NOT NULL AND end_ms > start_ms").select(
         "video_id", "id", "start_ms", "end_ms", R.ends_sentence(F.col("source_text")).alias("ended"), R.opens_with_continuation(F.col("source_text")).alias("goes_on"),
-        F.aggregate(codes, F.lit(0), lambda acc, c: acc + c.weight).alias("score"), F.array_join(F.transform(codes, lambda c: c.code), ",").alias("codes"),
+        F.array_join(F.transform(codes, lambda c: F.concat_ws(":", c.code, c.weight)), ",").alias("codes"),
     )
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["start_ms", "end_ms", "id"]).to_dict("records")
+        for row in rows:
+            row["codes"] = {code: int(w) for code, w in (c.split(":") for c in row["codes"].split(",") if c)}
+            row["score"] = sum(row["codes"].values())
         ranges: list[list[int]] = []
         for k, row in enumerate(rows):
             if row["score"] < least:
@@ -328,7 +334,7 @@ def difficult_spans(segments: DataFrame, *, least: int = 2, most: int = 10, isla
             a = b = k
             while a > 0 and b - a + 1 < most and not (rows[a - 1]["ended"] and not rows[a]["goes_on"]):
                 a -= 1
-            while b + 1 < len(rows) and b - a + 1 < most and (not rows[b]["ended"] or rows[b + 1]["goes_on"] or "open_ending" in rows[b]["codes"] or "open_word" in rows[b]["codes"]):
+            while b + 1 < len(rows) and b - a + 1 < most and (not rows[b]["ended"] or rows[b + 1]["goes_on"] or "target_open_ending" in rows[b]["codes"] or "source_ends_with_open_word" in rows[b]["codes"]):
                 b += 1
             if ranges and a <= ranges[-1][1] + 1:
                 ranges[-1][1] = min(max(ranges[-1][1], b), ranges[-1][0] + most - 1)
@@ -338,7 +344,7 @@ def difficult_spans(segments: DataFrame, *, least: int = 2, most: int = 10, isla
         for a, b in ranges:
             part = rows[a : b + 1]
             score = sum(r["score"] for r in part)
-            found = {c for r in part for c in r["codes"].split(",")}
+            found = {c for r in part for c in r["codes"]}
             out.append((part[0]["video_id"], part[0]["id"], part[-1]["id"], len(part), score, span_severity(found, score)))
         return pd.DataFrame(out, columns=["video_id", "start_id", "end_id", "n_segments", "score", "severity"])
 

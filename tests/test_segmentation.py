@@ -97,3 +97,13 @@ def test_span_severity():
     assert S.span_severity({"source_open_clause", "number_mismatch"}, 20) == "medium"
     assert S.span_severity({"target_open_ending", "source_ends_with_open_word"}, 10) == "high"
     assert S.span_severity({"target_open_ending", "source_ends_with_open_word"}, 9) == "medium"
+
+
+def test_difficult_spans_of_defective_texts(spark):
+    rows = [
+        ("a", 1, 0, 4000, "He found the tape.", "他找到了 кассета 磁带。"), ("b", 1, 0, 4000, "Well, he found it.", "Well，他找到了那个东西。"), ("c", 1, 0, 4000, "Come back home. Stay here. Come back home!", "回家吧。留在这里。回家吧！"),
+        ("d", 1, 0, 4000, "He found the tape.", "他找到了â€™磁带。"), ("e", 1, 0, 4000, "There is a door.", "there are 一扇门在那里。"), ("f", 1, 0, 4000, "I saw it. I saw him.", "我用 AI-so 看到了他。"), ("g", 1, 0, 4000, "Fine.", None),
+    ]
+    got = S.difficult_spans(spark.createDataFrame(rows, "video_id string, id long, start_ms long, end_ms long, source_text string, target_text string")).collect()
+    assert sorted((r.video_id, r.score, r.severity) for r in got) == [("a", 6, "high"), ("b", 13, "high"), ("c", 4, "medium"), ("d", 6, "high"), ("e", 13, "high")]
+    assert S.span_severity({"source_repeated_short_phrase"}, 8) == "high"
