@@ -24,7 +24,7 @@ def term_hits(texts: DataFrame, terms: DataFrame, key: list[str], text: str, ter
     Cases: null or wordless texts and terms match nothing; a repeated term matches as often; terms of signs without Latin words don't match here.
     """
     rows = terms.where(F.size(_words(F.col(term))) > 0).withColumn("_n", F.size(_words(F.col(term)))).withColumn("_gram", F.array_join(_words(F.col(term)), " "))
-    lengths = [r[0] for r in rows.select("_n").distinct().orderBy("_n").limit(100).collect()]
+    lengths = [r[0] for r in rows.select("_n").distinct().orderBy("_n").collect()]
     if not lengths:
         lengths = [1]
     words = texts.select(*key, F.col(text).alias("_text"), _words(F.col(text)).alias("_w"))

@@ -76,3 +76,10 @@ def test_ranking_quality(spark):
     ranked = spark.createDataFrame([(1, 1, True), (2, 1, False), (2, 2, True), (3, 1, False)], "query_id long, rank int, same_project boolean")
     r = B.ranking_quality(ranked).first()
     assert (r.n_queries, r.recall_1_ppm, r.recall_3_ppm, r.mrr_ppm) == (3, 333_333, 666_666, 500_000)
+
+
+def test_terms_of_more_than_a_hundred_lengths(spark):
+    said = [f"w{k}" for k in range(102)]
+    terms = spark.createDataFrame([(n, " ".join(said[:n])) for n in range(1, 103)], "term_id int, form string")
+    texts = spark.createDataFrame([(1, " ".join(said))], "id int, text string")
+    assert sorted(r.term_id for r in D.term_hits(texts, terms, ["id"], "text", "form").collect()) == list(range(1, 103))
