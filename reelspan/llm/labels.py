@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LANGUAGES = ("de", "en", "es", "fr", "ja", "ru", "uk", "zh")
 #: Labelled documents, by hash of their id, on which a language model is fitted at most.
 SAMPLE_DOCS = 2000
+#: Characters of each that a model is fitted on at most.
+SAMPLE_CHARS = 4000
 
 # Codes, and names of the languages in English and in the eight languages.
 NAMES = {
@@ -40,10 +44,14 @@ def label_language(label: str | None) -> str | None:
     return next((_BY_NAME[w] for w in words if w in _BY_NAME), None)
 
 
-def labelled_sample(docs: DataFrame, *, docs_at_most: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """(language, text) of up to ``docs_at_most`` documents with a label that names a language, least by hash of the id."""
-    spellings = [r[0] for r in docs.select("lang").where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).select("lang").collect()]
-    known = {s: lang for s in spellings if (lang := label_language(s))}
-    rows = docs.where(F.col("lang").isin(list(known)) & (F.length("text") > 20)).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    rows = rows.orderBy("h").limit(docs_at_most).select("lang", F.substring("text", 1, 4000).alias("text"))
-    return [(known[r[0]], r[1]) for r in rows.collect()]
+@F.pandas_udf(T.StringType())
+def _named(labels: pd.Series) -> pd.Series:
+    return labels.map({x: label_language(x) for x in labels.dropna().unique()}).astype(object)
+
+
+def labelled_sample(docs: DataFrame, *, docs_at_most: int = SAMPLE_DOCS, chars_at_most: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """(language, text) of up to ``docs_at_most`` documents with a label that names a language, least by hash of the id; of each as much as fits a model on.
+
+    Only this sample to fit on is bounded; what the model is applied to is read whole."""
+    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 20)).select(_named("lang").alias("lang"), F.substring("text", 1, chars_at_most).alias("text"), F.xxhash64("doc_id").alias("h")).where("lang IS NOT NULL")
+    return [(r[0], r[1]) for r in rows.orderBy("h").limit(docs_at_most).select("lang", "text").collect()]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,15 +15,21 @@ from pyspark.sql import functions as F
 
 from reelspan.llm.hyper import sentence_text
 from reelspan.llm.labels import LANGUAGES
+from reelspan.llm.refusals import APOLOGISING, DECLINING
 
 #: Buckets of the hashed n-gram tables: their size is fixed, whatever the corpus.
 BITS = 17
 STOP_BITS = 18
-#: Share of a pair's usual target length, and odds of stopping, below which a target is taken as truncated.
-SHORT, CLAUSE_SHORT, COMPLETE = 0.45, 0.66, 0.95
-STOP_ODDS = 0.04
-#: Likeness of letter pairs from which a target repeats its source.
-COPY = 0.75
+#: Log odds, before a pair is looked at, that its target is whole; and the most that its length may add or take (less: length alone decides nothing).
+WHOLE, LENGTH_MOST = 1.5, 1.2
+#: Weight of the shorter context when the end counts of two signs are few, and of the overall rate when those of one sign are.
+BACKOFF = 2.0
+#: Weight of the examples' n-grams in the likelihoods of a refusal and of any other text; the rest is that of all lines.
+MIXED, MIXED_OWN = 0.6, 0.15
+#: Log odds from which a text declines, and how far they must be over its source's.
+DECLINES, DECLINES_MORE = 13.0, 8.0
+#: Likeness of letter pairs from which a target repeats its source, and from which it does if both are surely in one language.
+COPY, COPY_SAME = 0.75, 0.65
 
 _SIGNS = "㐀-鿿"
 # What stands for a missing translation, and words put before one.
@@ -29,33 +37,27 @@ FILLERS = frozenset("n/a na null none nil nan undefined tbd todo empty untransla
 _PREFIX = re.compile(r"^\s*(?:[-–—*•>]+\s*)?(?:译文|翻译|中文|译|translation|target|перевод)\s*[:：]\s*", re.I)
 _MARKUP = re.compile(r"\{[^{}]*\}|<[^<>]*>|\\[Nnh]|[​-‏⁠﻿­]")
 _CARRIED = re.compile(r"[^\s㐀-鿿぀-ヿ。，、？！：；（）《》“”]{24,}|[^\s㐀-鿿぀-ヿ。，、？！]*(?:[/\\#_@]|https?:)[^\s㐀-鿿぀-ヿ。，、？！]*")
+_MARKUP_SIGN = re.compile(r"[{<\\​-‏⁠﻿­]")
+_CARRIED_SIGN = re.compile(r"[/\\#_@]|https?:|[^\s㐀-鿿぀-ヿ。，、？！：；（）《》“”]{24}")
 _LETTERS = re.compile(r"[^\W\d_]")
 _KANA = re.compile("[぀-ゟ゠-ヿ]")
 _PLAIN = re.compile(r"[\W_]+")
-
-# Ways in which a model declines, by language. The first are said of the text or the request and need no
-# look at the source; the second may also be what a speaker says.
-_STRONG = re.compile(
-    r"(?:can\s?not|can[’']?t|unable to|not able to|won[’']?t|decline to|refuse to)\s+(?:\w+\s+){0,3}(?:translat\w+|process\w*|compl\w+ with|fulfil\w*)|"
-    r"(?:assist|help)(?: you)? with (?:that|this|your) (?:request|content|text|passage|task)|(?:content|passage|text|request)\s+(?:can\s?not|can[’']?t)\s+be|as an? (?:ai|large |language model|assistant)|(?:language|ai) model|provide a translation|(?:violates|against) (?:the|our|my|usage)\s+(?:\w+\s+)?(?:polic|guideline)|"
-    r"не могу (?:\w+ )?(?:перев|обработ|помочь с|выполн)|(?:запрос|фрагмент|текст|содержание)\w* (?:нельзя|невозможно|не может|не могу)|языковая модель|не можу (?:\w+ )?(?:перекл|обробит|виконат|допомогти з)|мовна модель|(?:запит|фрагмент|текст) (?:неможливо|не можна)|"
-    r"(?:无法|不能|没法|不便|拒绝|不予|不可以|难以)\S{0,8}(?:翻译|处理\S{0,4}(?:请求|内容|文本)|提供\S{0,4}(?:翻译|译文)|协助|完成(?:此|该|这)\S{0,3}任务|执行|满足\S{0,4}请求)|不适合翻译|(?:违反|不符合)\S{0,10}(?:规范|政策|准则|规定)|暂不提供|语言模型|人工智能助手|"
-    r"(?:kann|können|darf)\b.{0,40}\bnicht\b.{0,20}(?:übersetz|bearbeit|verarbeit)\w*|sprachmodell|(?:ne peux|ne puis|peut) pas.{0,25}(?:tradui|trait|aider avec|répondre à (?:cette|votre) demande)\w*|modèle de langage|no puedo.{0,25}(?:traduc|proces|ayudar con|atender)\w*|modelo de lenguaje|(?:翻訳|処理|対応|お手伝い)\S{0,6}(?:できません|できない|いたしかねます)|言語モデル",
-    re.I,
-)
-_WEAK = re.compile(r"(?:sorry|apolog\w+|извини\w*|прости\w*|вибач\w*|抱歉|对不起|很遗憾|申し訳).{0,30}(?:can\s?not|can[’']?t|unable|won[’']?t|не могу|не можу|нельзя|无法|不能|できません)", re.I)
-_OWN = re.compile(r"sorry|apolog|forgive|can\s?not|can[’']?t|unable|извин|прости|не могу|вибач|не можу", re.I)
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+_CYRILLIC_LETTERS = re.compile("[Ѐ-ӿ]+")
+_NO_SIGNS = re.compile(f"[^{_SIGNS}]+")
 
 _TERMINAL = ".!?…。！？"
 _CLOSERS = " \t\n\r　 \"'”’»」』)]）】>*"
-_DANGLING = re.compile(r"(?:[,，、;；:：\-–—‐·]|……|…|\.\.+)+$")
+_OPEN_MARK = re.compile(r"(?:[,，、;；:：\-–—‐·…]|\.\.+)$")
+_TAIL = re.compile(r"[\W_]+$")
 _BREAKS = re.compile(r"(?<![,;:.!?…，；：。！？])(?:[,;:.!?…，；：。！？]+(?=\s|$|[㐀-鿿\"”’»」)])|[，；：。！？]+)")
 _ASIDE = re.compile(r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]")
 
 
 def core(text: str | None) -> str:
     """A target without markup, invisible signs and words put before a translation."""
-    return _PREFIX.sub("", _MARKUP.sub("", text or "")).strip()
+    text = text or ""
+    return _PREFIX.sub("", _MARKUP.sub("", text) if _MARKUP_SIGN.search(text) else text).strip()
 
 
 def is_empty(target: str) -> bool:
@@ -103,8 +105,24 @@ def hashed(texts: Sequence[str], orders: Sequence[int], bits: int) -> tuple[np.n
     return np.concatenate(keys), np.concatenate(of)
 
 
+def refusal_odds(lines: Sequence[str], declining: dict[str, Sequence[str]], apologising: dict[str, Sequence[str]]) -> np.ndarray:
+    """Log odds of each bucket of letter pairs and triples in a refusal against any other text: the examples' shares, each language weighing as much, mixed with those of all lines."""
+
+    def shares(groups: Iterable[Sequence[str]]) -> np.ndarray:
+        out = np.zeros(1 << BITS)
+        for texts in groups:
+            keys, _ = hashed(texts, (2, 3), BITS)
+            out += np.bincount(keys, minlength=1 << BITS) / max(1, len(keys))
+        return out / max(1e-9, out.sum())
+
+    plain = shares(lines[at : at + 1000] for at in range(0, len(lines), 1000))
+    said, own = (shares([_letters(t) for t in texts] for texts in x.values()) for x in (declining, apologising))
+    least = 0.5 / (1 << BITS)
+    return np.where((said > 0) | (own > 0) | (plain > 0), np.log((MIXED * said + (1 - MIXED) * plain + least) / (MIXED_OWN * own + (1 - MIXED_OWN) * plain + least)), 0)
+
+
 class LanguageBayes:
-    """Naive Bayes over hashed letter n-grams of orders 1 to 3 and their scripts."""
+    """Naive Bayes over hashed letter n-grams of orders 1 to 3 and their scripts: languages, and how much likelier an n-gram is in a refusal."""
 
     ORDERS = (0, 1, 2, 3)
 
@@ -112,8 +130,10 @@ class LanguageBayes:
         self.table, self.languages = table.astype(np.float32), tuple(languages)
 
     @classmethod
-    def fit(cls, sample: Sequence[tuple[str, str]], languages: Sequence[str] = LANGUAGES, rounds: int = 2) -> LanguageBayes:
-        """From labelled texts (a bounded sample). Labels may be wrong: lines that the first fit puts clearly into another language go there in the second."""
+    def fit(cls, sample: Sequence[tuple[str, str]], languages: Sequence[str] = LANGUAGES, rounds: int = 2, declining: dict[str, Sequence[str]] = DECLINING, apologising: dict[str, Sequence[str]] = APOLOGISING) -> LanguageBayes:
+        """From labelled texts (a bounded sample), and examples of refusals and of what else is said in like words.
+
+        Labels may be wrong: lines that the first fit puts clearly into another language go there in the second."""
         lines = [(languages.index(lang), t) for lang, text in sample if lang in languages for line in text.split("\n") if len(t := sentence_text(line)) > 3]
         if not lines:
             raise ValueError("no labelled text to fit languages on")
@@ -126,181 +146,256 @@ class LanguageBayes:
             table = counts.reshape(len(languages), -1).astype(np.float64)
             size = np.maximum(table.sum(axis=1, keepdims=True), 1)
             table = table * size.mean() / size + 0.05  # unseen n-grams weigh the same in every language
-            model = cls(np.log(table / table.sum(axis=1, keepdims=True)).T, languages)
+            model = cls(np.c_[np.log(table / table.sum(axis=1, keepdims=True)).T, np.zeros(1 << BITS)], languages)
             if step < rounds - 1:
                 for at in range(0, len(lines), 1000):
                     p = model.posteriors([t for _, t in lines[at : at + 1000]])
                     own = label[at : at + 1000]
                     label[at : at + 1000] = np.where(p.max(axis=1) > 0.99, p.argmax(axis=1), own)
+        model.table[:, -1] = refusal_odds([t for _, t in lines], declining, apologising)
         return model
 
-    def posteriors(self, texts: Sequence[str]) -> np.ndarray:
-        """A row for each text, a column for each language, uniform for texts without letters."""
-        out = np.zeros((len(texts), len(self.languages)))
+    def sums(self, texts: Sequence[str]) -> np.ndarray:
+        """Of each text the log likelihood in each language and the log odds of a refusal."""
+        out = np.zeros((len(texts), len(self.languages) + 1))
         if len(texts):
             keys, of = hashed(texts, self.ORDERS, BITS)
             keys, of = (x[np.argsort(of, kind="stable")] for x in (keys, of))
             if len(keys):
                 starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 out[of[starts]] = np.add.reduceat(self.table[keys], starts, axis=0)
-        out = np.exp(out - out.max(axis=1, keepdims=True))
-        return out / out.sum(axis=1, keepdims=True)
+        return out
+
+    def judged(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Language posteriors (a row for each text, uniform without letters), and the log odds of a refusal."""
+        out = self.sums(texts)
+        p = np.exp(out[:, :-1] - out[:, :-1].max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True), out[:, -1]
+
+    def posteriors(self, texts: Sequence[str]) -> np.ndarray:
+        """A row for each text, a column for each language, uniform for texts without letters."""
+        return self.judged(texts)[0]
 
 
 def _letters(text: str) -> str:
-    return " ".join(_PLAIN.sub(" ", re.sub(r"\d+", " ", text)).split()).lower()
+    return " ".join(_NO_LETTERS.sub(" ", text).split()).lower()
+
+
+def _bare(text: str) -> str:
+    """Without what stands in brackets."""
+    return _ASIDE.sub(" ", text) if "(" in text or "（" in text or "[" in text else text
 
 
 def _uncarried(text: str) -> str:
     """Without paths, links, tags and other long strings that go through a translation unchanged."""
-    return _CARRIED.sub(" ", text)
-
-
-def body(target: str) -> tuple[str, bool]:
-    """A target up to its last letter or sign, and whether a sentence end follows."""
-    t = target.rstrip(_CLOSERS)
-    end = bool(t) and t[-1] in "。！？!?." and not _DANGLING.search(t[-20:])
-    last = len(t)
-    while last and not (t[last - 1].isalnum()):
-        last -= 1
-    return t[:last], end
-
-
-def measures(source: str, target: str) -> tuple[bool, int, int, int]:
-    """Of a pair, its long strings and asides left out: whether the source is Cyrillic, its letters, the target's CJK signs, and by how many breaks the target has fewer."""
-    s, t = _ASIDE.sub(" ", source), _ASIDE.sub(" ", target)
-    cyrillic = len(re.findall("[Ѐ-ӿ]", s))
-    letters = len(_LETTERS.findall(s))
-    return cyrillic * 2 > letters, letters, len(re.findall(f"[{_SIGNS}]", t)), len(_BREAKS.findall(s)) - len(_BREAKS.findall(t))
-
-
-def _stop_counts(bodies: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the sign pairs of targets, how often each occurs and how often a sentence or the text ends after it."""
-    points = np.frombuffer("".join(f"{b}。 " for b in bodies).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    if len(points) < 3:
-        return (np.zeros(0, dtype=np.int64),) * 3
-    stops = np.isin(points, [ord(c) for c in _TERMINAL])
-    spaced = (points == 32) | stops
-    pair = ~(spaced[:-2] | spaced[1:-1])
-    bucket = _bucket(points[:-2][pair], points[1:-1][pair])
-    total = np.bincount(bucket, minlength=1 << STOP_BITS)
-    stopped = np.bincount(bucket[stops[2:][pair]], minlength=1 << STOP_BITS)
-    used = np.flatnonzero(total)
-    return used, total[used], stopped[used]
+    return _CARRIED.sub(" ", text) if _CARRIED_SIGN.search(text) else text
+
+
+#: How a source ends: with a sentence, a question, or open.
+_ENDED, _ASKED, _OPEN = range(3)
+#: How a target ends: with a sentence's mark, a question mark, a mark after which text goes on, none.
+_STOP_MARK, _ASK_MARK, _GOES_ON, _NO_MARK = range(4)
+
+
+def clauses(text: str) -> tuple[list[str], str]:
+    """The clauses of a text, asides left out, and the marks after the last."""
+    text = _bare(text).rstrip(_CLOSERS)
+    tail = _TAIL.search(text)
+    marks = tail[0] if tail else ""
+    return _BREAKS.split(text[: len(text) - len(marks)]), marks.strip(_CLOSERS)
+
+
+def source_end(marks: str) -> int:
+    return _ASKED if marks[-1:] in ("?", "？") else _ENDED if marks[-1:] and marks[-1] in _TERMINAL else _OPEN
+
+
+def target_end(marks: str) -> int:
+    return _NO_MARK if not marks else _GOES_ON if _OPEN_MARK.search(marks) else _ASK_MARK if marks[-1] in "?？" else _STOP_MARK
+
+
+def measures(source: str, target: str) -> tuple[bool, int, int]:
+    """Of a pair, its asides left out: whether the source is Cyrillic, its letters, the target's CJK signs."""
+    letters = _NO_LETTERS.sub("", _bare(source))
+    return 2 * len(_CYRILLIC_LETTERS.sub("", letters)) < len(letters), len(letters), len(_NO_SIGNS.sub("", _bare(target)))
 
 
-def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def states(source: str, target: str) -> tuple[list[tuple[int, str]], int, int]:
+    """The target's clauses, each with the state that the source is in there, then how both end.
+
+    A state is the way the source ends and whether it has clauses left after as many as the target has told."""
+    own, marks = clauses(source)
+    end = source_end(marks)
+    told, target_marks = clauses(target)
+    return [(2 * end + (len(own) - 1 > k), "".join(c.split())) for k, c in enumerate(told)], end, target_end(target_marks)
+
+
+def _bucket(a: np.ndarray, b: np.ndarray, state: np.ndarray | int) -> np.ndarray:
+    """Cells of two signs (the first 0: of the second alone) in a state."""
     with np.errstate(over="ignore"):
-        return ((((a.astype(np.uint64) << np.uint64(21)) | b.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - STOP_BITS)).astype(np.int64)
+        x = (a.astype(np.uint64) << np.uint64(21)) | b.astype(np.uint64) | (np.uint64(1) + np.asarray(state, dtype=np.uint64) << np.uint64(43))
+        return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - STOP_BITS)).astype(np.int64)
+
+
+def _cell(a: int, b: int, state: int) -> int:
+    """The same of one pair."""
+    return ((((a << 21) | b | (1 + state << 43)) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - STOP_BITS)
+
+
+def _points(texts: Sequence[str]) -> np.ndarray:
+    return np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+
+
+def _twos(ends: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The signs of texts of two."""
+    points = _points(ends)
+    return (points[1::3], points[2::3]) if ends else (points[:0], points[:0])
 
 
 _RATIO_BINS = 400  # of a two-hundredth
+#: Kinds of counts: two signs or one in a state, and texts that end there; CJK signs by letter of Latin and Cyrillic sources; states; marks at the end; clauses that end there in mid-text.
+_PAIR, _LATIN, _CYRILLIC, _STATE, _MARKS, _HALT = range(6)
 
 
 def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts over all pairs: sign pairs and stops after them (kind 0), and CJK signs by source letter, Latin (1) and Cyrillic (2)."""
-    total = np.zeros(1 << STOP_BITS, dtype=np.int64)
-    stopped = np.zeros(1 << STOP_BITS, dtype=np.int64)
-    ratio = np.zeros((3, _RATIO_BINS), dtype=np.int64)
+    """Counts over all pairs, in cells of fixed number."""
+    total, stopped = np.zeros(1 << STOP_BITS, dtype=np.int64), np.zeros(1 << STOP_BITS, dtype=np.int64)
+    halted = np.zeros(1 << STOP_BITS, dtype=np.int64)
+    ratio, state_n, state_m, marks = np.zeros((3, _RATIO_BINS), dtype=np.int64), np.zeros(6, dtype=np.int64), np.zeros(6, dtype=np.int64), np.zeros(12, dtype=np.int64)
     for pdf in batches:
-        bodies = []
+        pools: list[list[str]] = [[] for _ in range(6)]
+        ends: list[list[str]] = [[] for _ in range(6)]
+        halts: list[list[str]] = [[] for _ in range(6)]
         for source, target in zip(pdf["source"], pdf["target"], strict=True):
-            if source is None or target is None:
+            if not source or target is None:
                 continue
-            target = _uncarried(core(target))
-            cyrillic, letters, signs, _ = measures(_uncarried(source), target)
+            source, target = _uncarried(source), _uncarried(core(target))
+            cyrillic, letters, signs = measures(source, target)
             if signs < 2:
                 continue
-            bodies.append(re.sub(r"\s+", "", body(target)[0]))
+            told, end, mark = states(source, target)
+            for state, clause in told:
+                pools[state].append(clause)
+            for state, clause in told[:-1]:
+                if state % 2:
+                    halts[state].append(clause[-2:].rjust(2))
+            ends[told[-1][0]].append(told[-1][1][-2:].rjust(2))
+            marks[4 * end + mark] += 1
             if letters >= 8:
                 ratio[1 + cyrillic, min(_RATIO_BINS - 1, 200 * signs // letters)] += 1
-        used, n, m = _stop_counts(bodies)
-        total[used] += n
-        stopped[used] += m
+        for state in range(6):
+            points = _points(pools[state])
+            for into, a, b in ((total, points[:-1], points[1:]), (stopped, *_twos(ends[state])), (halted, *_twos(halts[state]))):
+                one, two = b > 32, (a > 32) & (b > 32)
+                into += np.bincount(_bucket(a[two], b[two], state), minlength=1 << STOP_BITS)
+                into += np.bincount(_bucket(np.zeros_like(b[one]), b[one], state), minlength=1 << STOP_BITS)
+            state_n[state] += sum(map(len, pools[state]))
+            state_m[state] += len(ends[state])
     used = np.flatnonzero(total)
-    yield pd.DataFrame({"kind": 0, "key": used, "n": total[used], "m": stopped[used]})
-    for kind in (1, 2):
-        used = np.flatnonzero(ratio[kind])
-        yield pd.DataFrame({"kind": kind, "key": used, "n": ratio[kind][used], "m": 0})
+    yield pd.DataFrame({"kind": _PAIR, "key": used, "n": total[used], "m": stopped[used]})
+    for kind, n, m in ((_HALT, halted, None), (_LATIN, ratio[1], None), (_CYRILLIC, ratio[2], None), (_STATE, state_n, state_m), (_MARKS, marks, None)):
+        used = np.flatnonzero(n)
+        yield pd.DataFrame({"kind": kind, "key": used, "n": n[used], "m": 0 if m is None else m[used]})
+
+
+def length_odds(counts: np.ndarray) -> np.ndarray:
+    """Of each bin of signs by letter, the log odds that a whole target has it rather than one cut at any place, from the histogram of all targets."""
+    width = np.exp(-0.5 * (np.arange(-24, 25) / 8.0) ** 2)
+    whole = np.convolve(counts, width / width.sum(), mode="same") + 1e-3
+    cut = np.cumsum((whole / (np.arange(len(counts)) + 0.5))[::-1])[::-1]
+    return np.clip(np.log(whole / np.maximum(cut, 1e-9)), -LENGTH_MOST, LENGTH_MOST) if counts.sum() else np.zeros(len(counts))
 
 
 class PairModel:
-    """What the classification needs: the language model, stops after sign pairs, usual target lengths."""
+    """What the classification needs: the language model, how likely texts end after their last signs, usual target lengths."""
 
     def __init__(self, languages: LanguageBayes, counts: Sequence[tuple[int, int, int, int]]):
         self.languages = languages
-        self.total, self.stopped = np.zeros(1 << STOP_BITS), np.zeros(1 << STOP_BITS)
-        bins = np.zeros((3, _RATIO_BINS))
+        self.total, self.stopped = array("d", bytes(8 << STOP_BITS)), array("d", bytes(8 << STOP_BITS))
+        bins, self.state_n, self.state_m, marks = np.zeros((3, _RATIO_BINS)), np.ones(6), np.zeros(6), np.zeros(12)
+        halted = array("d", bytes(8 << STOP_BITS))
         for kind, key, n, m in counts:
-            if kind == 0:
+            if kind == _HALT:
+                halted[key] = n
+            elif kind == _PAIR:
                 self.total[key], self.stopped[key] = n, m
+            elif kind == _STATE:
+                self.state_n[key], self.state_m[key] = n, m
+            elif kind == _MARKS:
+                marks[key] = n
             else:
                 bins[kind, key] = n
-        self.usual = [0.3, *(((np.searchsorted(np.cumsum(b), b.sum() / 2) + 0.5) / 200 if b.sum() else 0.3) for b in bins[1:])]
+        # where clauses are left, a cut falls as often on the end of one as on any place
+        ends = np.frombuffer(halted)
+        self.total = array("d", ((np.frombuffer(self.total) + ends * (self.state_n.sum() / max(1.0, ends.sum() / 2))) / 2).tobytes())
+        self.length = [np.zeros(_RATIO_BINS), length_odds(bins[1]), length_odds(bins[2])]
+        marks = marks.reshape(3, 4)
+        self.marks = np.log((marks + 0.5) / (marks.sum(axis=1, keepdims=True) + 2) * 4).tolist()
+        self.rate = max(1.0, self.state_m.sum()) / max(1.0, self.state_n.sum())
+
+    def stop_odds(self, source: str, target: str) -> float:
+        """How likely a target ends as this one does: by n-gram counts over all targets, without this one, of its last two signs where the source is
+        there, backed off to the last sign and the state, and of the marks after them for how the source ends."""
+        told, end, mark = states(source, target)
+        state, text = told[-1]
+        b = ord(text[-1]) if text else 32
+        a = ord(text[-2]) if len(text) > 1 else 32
+        p = max(0.0, self.state_m[state] - 1 + self.rate) / max(1.0, self.state_n[state])
+        for first in (0, a) if a > 32 else (0,):
+            if b > 32:
+                k = _cell(first, b, state)
+                p = (max(0.0, self.stopped[k] - 1) + BACKOFF * p) / (max(0.0, self.total[k] - 1) + BACKOFF)
+        return p * math.exp(self.marks[end][mark])
+
+    def end_likelihood(self, source: str, target: str) -> float:
+        """Log likelihood ratio of the target's end against that of a cut at any place."""
+        return math.log(max(self.stop_odds(source, target), 1e-9) / self.rate)
 
-    def stop_odds(self, text: str) -> float:
-        """How often a sentence ends after the last two signs of a text, over all targets, without this one."""
-        text = re.sub(r"\s+", "", text)
-        if len(text) < 2:
-            return 0.0
-        k = _bucket(np.array([ord(text[-2])]), np.array([ord(text[-1])]))[0]
-        return max(0.0, self.stopped[k] - 1) / max(1.0, self.total[k] - 1)
+    def truncated(self, source: str, target: str) -> bool:
+        """Whether the end-of-text likelihood, with the length as prior, speaks for a cut."""
+        source = _uncarried(source)
+        cyrillic, letters, signs = measures(source, target)
+        if letters < 4 or not signs:
+            return False
+        return WHOLE + self.end_likelihood(source, target) + self.length[1 + cyrillic][min(_RATIO_BINS - 1, 200 * signs // letters)] < 0
 
     def defects(self, sources: Sequence[str | None], targets: Sequence[str | None], kept: Sequence[bool]) -> list[str | None]:
         """The defect of each pair, if it has one; ``kept`` says which sources are just a term that stays as it is."""
         out: list[str | None] = [None] * len(sources)
         clean = [_uncarried(core(t)) for t in targets]
-        letters = [_letters(t) for t in clean]
-        asked = self.languages.posteriors([_letters(_uncarried(s or "")) for s in sources])
-        given = self.languages.posteriors(letters)
+        letters = [_letters(_without_asides(t)) for t in clean]
+        asked, own = self.languages.judged([_letters(_uncarried(s or "")) for s in sources])
+        given, declines = self.languages.judged(letters)
         chinese, japanese = (self.languages.languages.index(x) for x in ("zh", "ja"))
         for i, text in enumerate(letters):  # a Japanese sentence has kana
             if not _KANA.search(text):
                 given[i, chinese] += given[i, japanese]
                 given[i, japanese] = 0
+        same = (asked * given).sum(axis=1)
         for i, (source, target) in enumerate(zip(sources, targets, strict=True)):
             whole = core(target)
             if is_empty(whole):
                 out[i] = "empty"
                 continue
-            signs = len(re.findall(f"[{_SIGNS}]", clean[i]))
-            foreign = given[i, chinese] < 0.5 and bool(letters[i])
             has_source = source is not None and bool(source.strip())
-            if has_source and not signs and likeness(source, whole) >= COPY:
+            foreign = given[i, chinese] < 0.5 and bool(letters[i])
+            alike = likeness(_without_asides(source), _without_asides(whole)) if has_source and foreign else 0.0
+            if alike >= COPY or (alike >= COPY_SAME and same[i] > 0.5):
                 if not kept[i]:
                     out[i] = "copy"
                 continue
-            if _STRONG.search(whole) and not (has_source and _STRONG.search(source)) or _WEAK.search(whole) and not (has_source and _OWN.search(source)):
+            if declines[i] >= DECLINES and (not has_source or declines[i] - own[i] >= DECLINES_MORE):
                 out[i] = "refusal"
-                continue
-            if foreign:
-                same = asked[i].argmax() == given[i].argmax()
-                out[i] = "copy" if same and has_source and likeness(source, whole) >= COPY - 0.1 else "wrong_language"
-                continue
-            if has_source and self.truncated(source, clean[i]):
+            elif foreign:
+                out[i] = "wrong_language"
+            elif has_source and self.truncated(source, clean[i]):
                 out[i] = "truncated"
         return out
 
-    def truncated(self, source: str, target: str) -> bool:
-        """By the odds that a text stops where this one does, and by its length and breaks against its source's."""
-        source = _uncarried(source)
-        cyrillic, letters, signs, fewer = measures(source, target)
-        if letters < 4 or not signs:
-            return False
-        share = signs / letters / self.usual[1 + cyrillic]
-        words, ended = body(target)
-        source_tail, target_tail = source.rstrip(_CLOSERS)[-1:], target.rstrip(_CLOSERS)[-1:]
-        source_ends = source_tail != "" and source_tail in _TERMINAL
-        asks = source_tail == "?" and target_tail in ("？", "?")  # the question's end is there
-        if share < SHORT or (fewer > 0 and share < CLAUSE_SHORT and not asks):
-            return True
-        if share >= 1.3:
-            return False
-        if asks:
-            return False
-        dangles = bool(_DANGLING.search(target.rstrip(_CLOSERS)[-20:])) or (source_ends and not ended)
-        odds = self.stop_odds(words)
-        return (dangles and (odds < 0.5 or share < COMPLETE)) or (odds < STOP_ODDS and share < COMPLETE)
+
+def _without_asides(text: str) -> str:
+    """A text without what it has in brackets, unless nothing else is there."""
+    bare = _bare(text)
+    return bare if bare is text or _LETTERS.search(bare) else text
 
 
 SCHEMA = "kind int, key bigint, n bigint, m bigint"
@@ -314,9 +409,9 @@ def _term(text: Column) -> Column:
 def pair_defects(pairs: DataFrame, languages: LanguageBayes, kept_terms: DataFrame | Sequence[str], *, key: list[str], source: str, target: str, version: str) -> DataFrame:
     """``*key, defect`` for each pair with a defect: empty, copy, refusal, wrong_language or truncated.
 
-    Two passes. The first counts over all pairs, into tables of fixed size, how often targets stop after each two
-    signs and how long they are for their sources; the second compares the language posteriors of prompt and response and flags the rest by
-    those counts. Sources that are just a term of ``kept_terms`` (a column ``term``, or a list) are found by a join, whose side Spark
+    Two passes. The first counts over all pairs, into tables of fixed size, how often targets end after each two
+    signs where the source is told or not, with which marks, and how long they are for their sources. The second compares the language posteriors of
+    prompt and response, and the likelihood of the response as a refusal with the prompt's; a response in Chinese is truncated if that of its end, by those counts, is too low. Sources that are just a term of ``kept_terms`` (a column ``term``, or a list) are found by a join, whose side Spark
     sends round only if it is small. Only (key, version, defect) is shuffled, to count repeated rows once, by the latest version. Texts are read whole.
 
     Cases: a null, blank or filler target is 'empty' whatever the source; null or blank sources have no other defect but refusal

@@ -1,10 +1,11 @@
 import random
 
+import pandas as pd
 import pytest
 
 from reelspan.llm.hyper import document_languages, fit_profiles, label_documents, sentence_text
 from reelspan.llm.labels import label_language, labelled_sample
-from reelspan.llm.pairs import LanguageBayes, pair_defects
+from reelspan.llm.pairs import DECLINES, LanguageBayes, PairModel, _letters, pair_defects, tally
 from reelspan.runtime import read
 
 SF = "/root/testdata/sf0.01"
@@ -82,6 +83,56 @@ def test_pair_defects(spark, sample):
     assert pair_defects(rows.limit(0), model, [], key=["v", "id"], source="s", target="t", version="version").count() == 0
 
 
+#: Ways to decline that stand in no list of the package, and things that speakers say.
+HELD_OUT = [
+    "I'm afraid translating this passage is something I cannot do.", "My guidelines prohibit me from processing your text.", "This segment could not be translated because it violates a policy.", "As an AI, I must decline this translation request.",
+    "本模型无法提供此段内容的翻译。", "抱歉，您的请求违反政策，不能翻译。", "此文本不适合处理，请更换内容。", "К сожалению, данный текст не может быть переведён по правилам.", "Как ИИ-модель, я отказываюсь обрабатывать этот запрос.",
+    "Leider ist mir die Übersetzung dieses Textes nicht erlaubt.", "Désolé, la traduction de ce contenu n'est pas possible.", "Lo siento, no es posible traducir este contenido.", "申し訳ありませんが、このテキストは翻訳できません。",
+]
+OWN = ["对不起，我今晚不能来。", "抱歉，我忘了。", "我无法忘记那场演出。", "很遗憾，他们没有赢。", "我不会再去那里。", "没有人能帮助他。", "请坐下来等我。"]
+
+
+def test_refusals_by_likelihood(spark, sample):
+    model = LanguageBayes.fit(sample)
+    at = lambda texts: model.judged([_letters(t) for t in texts])[1]
+    assert (at(HELD_OUT) >= DECLINES).mean() >= 0.8
+    assert (at(OWN) < DECLINES).all()
+    plain = [t for _, text in sample for t in text.split("\n") if len(t) > 20][:2000]
+    assert (at(plain) >= DECLINES).mean() < 0.01
+
+
+@pytest.mark.parametrize("lang, text", [
+    ("de", "Der alte Kritiker verbrannte gestern den zweiten Entwurf hinter dem Kino."), ("fr", "Le vieux critique brûla le deuxième brouillon derrière le cinéma."), ("es", "El viejo crítico quemó el segundo borrador detrás del cine."),
+])
+def test_languages_of_one_script(sample, lang, text):
+    model = PairModel(LanguageBayes.fit(sample), [])
+    source = "The old critic burned the second draft behind the cinema."
+    assert model.defects([source], [text], [False]) == ["wrong_language"]
+    assert model.defects([source], [source.replace("burned", "burnd")], [False]) == ["copy"]
+    assert model.languages.languages[model.languages.posteriors([text.lower()])[0].argmax()] == lang
+    assert model.defects(["Старый критик сжёг второй черновик за кинотеатром."], ["Старий критик спалив другу чернетку за кінотеатром."], [False]) == ["wrong_language"]
+
+
+def test_end_likelihood_decides_truncation(spark, sample):
+    """Held-out cuts of whole targets are found, whole ones aren't flagged; without the likelihood next to none is found."""
+    rows = read(spark, SF, "segments").select("source_text", "target_text").dropna().distinct().toPandas()
+    whole = rows[rows.target_text.str.match(r"^[\u4e00-\u9fff]{9,}[^\n{<]*。$") & rows.source_text.str.contains(r"[.]\s*$")].reset_index(drop=True)
+    held, rest = whole.iloc[::9], rows
+    frame = pd.concat(tally(iter([rest.rename(columns={"source_text": "source", "target_text": "target"})])))
+    model = PairModel(LanguageBayes.fit(sample), list(frame.itertuples(index=False)))
+    rng = random.Random(4)
+    cut = [(s, t[: rng.randint(3, max(3, len(t) * 6 // 10))].rstrip("，。、") + rng.choice(["", "，", "——", "……", "-"])) for s, t in zip(held.source_text, held.target_text, strict=True)]
+    found = lambda pairs: sum(model.truncated(s, t) for s, t in pairs) / len(pairs)
+    assert len(cut) > 50
+    assert found(cut) > 0.98
+    assert found(list(zip(held.source_text, held.target_text, strict=True))) < 0.02
+    model.end_likelihood = lambda s, t: 0.0
+    assert found(cut) < 0.5
+    model.end_likelihood = PairModel.end_likelihood.__get__(model)
+    model.stop_odds = lambda s, t: 1.0
+    assert found(cut) == 0
+
+
 def test_language_bayes_is_sure(sample):
     rng = random.Random(9)
     half = len(sample) // 2
