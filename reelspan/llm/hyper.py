@@ -21,8 +21,9 @@ ORDERS = (1, 2, 3, 4)
 MARGIN = 0.035
 #: Scale that turns cosines into a confidence.
 SHARPNESS = 40.0
-_CACHE = 200_000
 _CHUNK = 1000
+#: Bits of a mixed n-gram key; the rest of a 64-bit word says which line it is of.
+_KEY_BITS = 44
 
 _LINK = re.compile(r"https?://\S+|www\.\S+|[^\s@]{1,64}@[^\s@]{1,250}|[#@][^\s#]+")
 _EVENT = re.compile(r"^\s*Dialogue:\s*(?:[^,]*,){9}")
@@ -31,23 +32,24 @@ _QUOTED = re.compile(r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|【[^】]*】|
 _CODE = re.compile(r"\d[\d:.,]*")
 _OTHER = re.compile(r"[\W\d_]+")
 _END = re.compile(r"[.!?…。！？]")
+_LETTER = re.compile(r"[^\W\d_]")
+_SIGNS = re.compile(r"[{<\\&@#(（\[【“«„「『\"]|://|www|Dialogue:")
+_SIGN_NAME = re.compile(r"\s*[぀-ヿ㐀-鿿]{1,8}(?:[·・ ][぀-ヿ㐀-鿿]{1,8}){1,2}\s*")
+_BREAK = re.compile(r"\r\n|\r|\n")
 
 
 def sentence_text(line: str) -> str:
     """What of a line can show its language: without event fields, links, tags, markup, time codes, quoted
     phrases (unless nothing else is there) and lone names; lower-cased letters with single spaces."""
-    line = _MARKUP.sub(" ", _LINK.sub(" ", _EVENT.sub("", line)))
-    bare = _QUOTED.sub(" ", line)
-    if not re.search(r"[^\W\d_]", bare):
+    signs = _SIGNS.findall(line)
+    if signs:  # most lines have none of what the patterns look for
+        line = _MARKUP.sub(" ", _LINK.sub(" ", _EVENT.sub("", line)))
+    bare = _QUOTED.sub(" ", line) if signs else line
+    if bare is not line and not _LETTER.search(bare):
         bare = line
-    plain = _OTHER.sub(" ", bare).strip()
-    if not plain:
-        return ""
-    words = plain.split()
-    if not _END.search(_CODE.sub(" ", bare)):
-        if len(words) <= 3 and all(w[0].isupper() for w in words):
-            return ""  # a name
-        if re.fullmatch(r"\s*[぀-ヿ㐀-鿿]{1,8}(?:[·・ ][぀-ヿ㐀-鿿]{1,8}){1,2}\s*", bare):
+    words = _OTHER.sub(" ", bare).split()
+    if len(words) <= 3 and words and not _END.search(_CODE.sub(" ", bare)):
+        if all(w[0].isupper() for w in words) or _SIGN_NAME.fullmatch(bare):
             return ""  # a name
     return " ".join(words).lower()
 
@@ -123,41 +125,34 @@ class Profiles:
     """Language prototypes, and cosines of texts with them.
 
     A text's vector is the bundle (sum) of its n-gram vectors. The dot product with a prototype is then the sum
-    over n-grams, so each different n-gram is compared once and kept. The bundle's length is that of
+    over n-grams, so that of each n-gram in the prototypes is found once, when they are made. The vectors of other n-grams are
+    orthogonal to them but for noise, so those only add to the length. The bundle's length is that of
     its counts, as n-gram vectors are all but orthogonal. A language may have several prototypes, one for each
     spelling; the nearest counts.
     """
 
-    def __init__(self, prototypes: np.ndarray, of: Sequence[str], languages: Sequence[str] = LANGUAGES):
+    def __init__(self, prototypes: np.ndarray, grams: np.ndarray, of: Sequence[str], languages: Sequence[str] = LANGUAGES):
         self.languages, self.of = tuple(languages), tuple(of)
         centred = prototypes - prototypes.mean(axis=0)
-        self.prototypes = (centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._known, self._scores = np.zeros(0, dtype=np.uint64), np.zeros((0, len(self.of)), dtype=np.float32)
+        centred = (centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        self.grams = _mixed(grams).astype(np.int64)
+        self.scores = np.concatenate([np.zeros((len(self.of), 0), dtype=np.float32), *(centred @ gram_vectors(_grams(grams[i : i + 2048])).T for i in range(0, len(grams), 2048))], axis=1)
+        self._index: pd.Index | None = None
 
     def __getstate__(self) -> dict:
-        return {"languages": self.languages, "of": self.of, "prototypes": self.prototypes}
+        return {"languages": self.languages, "of": self.of, "grams": self.grams, "scores": self.scores}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        self._forget()
-
-    def _score(self, keys: np.ndarray) -> np.ndarray:
-        """Dot products of n-grams (sorted, different) with the prototypes."""
-        at = np.searchsorted(self._known, keys)
-        at[at == len(self._known)] = 0
-        new = keys[self._known[at] != keys] if len(self._known) else keys
-        if len(new):
-            if len(self._known) + len(new) > _CACHE:
-                self._known, self._scores = self._known[:0], self._scores[:0]
-                new = keys
-            fresh = np.concatenate([gram_vectors(_grams(new[i : i + 2048])) @ self.prototypes.T for i in range(0, len(new), 2048)])
-            known = np.concatenate([self._known, new])
-            order = np.argsort(known)
-            self._known, self._scores = known[order], np.concatenate([self._scores, fresh])[order]
-        return self._scores[np.searchsorted(self._known, keys)]
+        self._index = None
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """Places of n-grams among the scores, -1 for those in no prototype."""
+        if self._index is None:
+            self.grams, kept = np.unique(self.grams, return_index=True)
+            self.scores = np.ascontiguousarray(self.scores[:, kept])
+            self._index = pd.Index(self.grams)
+        return self._index.get_indexer(keys)
 
     def all_cosines(self, texts: Sequence[str]) -> np.ndarray:
         """A row for each text, a column for each prototype; zeros for texts without letters."""
@@ -167,20 +162,48 @@ class Profiles:
         keys, of = _keys(texts)
         if not len(keys):
             return out
-        different, at = np.unique(keys, return_inverse=True)
-        score = self._score(different)
-        pairs, counts = np.unique(of.astype(np.int64) * len(different) + at, return_counts=True)
-        row, gram = pairs // len(different), pairs % len(different)
-        weighted = score[gram] * counts[:, None]
-        for k in range(len(self.of)):
-            out[:, k] = np.bincount(row, weights=weighted[:, k], minlength=len(texts))
-        length = np.bincount(row, weights=counts.astype(float) ** 2, minlength=len(texts))
+        held = np.sort((of.astype(np.uint64) << np.uint64(_KEY_BITS)) | _mixed(keys))
+        first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+        counts = np.diff(np.r_[first, len(held)]).astype(np.float32)
+        row = (held[first] >> np.uint64(_KEY_BITS)).astype(np.int64)
+        at = self._found((held[first] & np.uint64((1 << _KEY_BITS) - 1)).astype(np.int64))
+        length = np.bincount(row, weights=counts**2, minlength=len(texts))
+        known = np.flatnonzero(at >= 0)
+        if len(known):
+            row = row[known]
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            gram, weight, row = at[known], counts[known], row[starts]
+            for k, column in enumerate(self.scores):
+                out[row, k] = np.add.reduceat(column[gram] * weight, starts)
         return out / np.sqrt(np.maximum(length, 1) * DIM)[:, None]
 
     def cosines(self, texts: Sequence[str]) -> np.ndarray:
-        """A row for each text, a column for each language: the cosine with its nearest prototype."""
-        every = self.all_cosines(texts)
-        return np.stack([every[:, [k for k, x in enumerate(self.of) if x == lang]].max(axis=1) if lang in self.of else np.full(len(texts), -1.0) for lang in self.languages], axis=1)
+        """A row for each text, a column for each language: the cosine with its nearest prototype. Equal texts are compared once."""
+        place = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+        different = list(place)
+        every = np.concatenate([np.zeros((0, len(self.of))), *(self.all_cosines(part) for part in _parts(different))])
+        best = np.stack([every[:, [k for k, x in enumerate(self.of) if x == lang]].max(axis=1) if lang in self.of else np.full(len(different), -1.0) for lang in self.languages], axis=1)
+        return best[np.fromiter((place[t] for t in texts), dtype=np.int64, count=len(texts))]
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """n-gram keys mixed into fewer bits."""
+    with np.errstate(over="ignore"):
+        return _mix(keys) >> np.uint64(64 - _KEY_BITS)
+
+
+def _parts(texts: list[str], letters: int = 400_000) -> Iterator[list[str]]:
+    """Texts in lists of about so many letters, so that arrays stay small."""
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        if part and size + len(t) > letters:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
 
 
 def fit_profiles(sample: Sequence[tuple[str, str]], *, rounds: int = 2, languages: Sequence[str] = LANGUAGES) -> Profiles:
@@ -210,13 +233,12 @@ def fit_profiles(sample: Sequence[tuple[str, str]], *, rounds: int = 2, language
                 tally["n"].append(n)
         different, at = np.unique(np.concatenate(tally["key"]), return_inverse=True)
         counts = np.bincount(np.concatenate(tally["label"]) * len(different) + at, weights=np.concatenate(tally["n"]), minlength=len(names) * len(different)).reshape(len(names), len(different))
-        profiles = Profiles(_bundle(np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)), different), base, languages)
+        profiles = Profiles(_bundle(np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)), different), different, base, languages)
         if step == rounds - 1:
             break
         for at in range(0, len(own), _CHUNK):
             cos = profiles.all_cosines([t for _, t in own[at : at + _CHUNK]])
             own[at : at + _CHUNK] = [(int(c.argmax()) if c.max() - c[k] > 0.05 else k, t) for (k, t), c in zip(own[at : at + _CHUNK], cos, strict=True)]
-    profiles._forget()
     return profiles
 
 
@@ -235,7 +257,7 @@ def document_languages(profiles: Profiles, texts: Sequence[str | None], margin:
     A line has the nearest language if that is nearer by ``margin`` than the main one, else the main one;
     the confidence is the share of its language when cosines are sharpened and normalised.
     """
-    lines = [(d, n, s) for d, text in enumerate(texts) if text for n, line in enumerate(re.split(r"\r\n|\r|\n", text), 1) if (s := sentence_text(line))]
+    lines = [(d, n, s) for d, text in enumerate(texts) if text for n, line in enumerate(_BREAK.split(text), 1) if (s := sentence_text(line))]
     out: list[list[tuple[int, str, float]]] = [[] for _ in texts]
     if not lines:
         return out
@@ -271,18 +293,19 @@ def label_documents(docs: DataFrame, profiles: Profiles, *, doc_id: str = "doc_i
     """``doc_id, line_no, lang, confidence``: line 0 for documents whose label is missing or names another
     language than the main one, and every line that has a language of documents in two languages or more.
 
-    One pass without a shuffle; the model (eight languages and their spellings, some prototypes of fixed size) goes along with
-    the tasks. Each text is read whole.
+    One pass without a shuffle; the model (the scores of the n-grams of a bounded sample) is broadcast once. Each text is read whole.
 
     Cases: null and blank texts and texts without a sentence (only names, links, tags, time codes) give no rows; labels
     count in any spelling, unknown ones as missing; rows of one id each give their rows; a null id is kept.
     """
 
+    sent = docs.sparkSession.sparkContext.broadcast(profiles)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                pdf, rows = batch.iloc[at : at + 500], []
-                for key, given, found in zip(pdf["_id"], pdf["_label"], document_languages(profiles, pdf["_text"].tolist()), strict=True):
+            for at in range(0, len(batch), 2000):
+                pdf, rows = batch.iloc[at : at + 2000], []
+                for key, given, found in zip(pdf["_id"], pdf["_label"], document_languages(sent.value, pdf["_text"].tolist()), strict=True):
                     if found and label_language(given) != found[0][1]:
                         rows.append((key, *found[0]))
                     if len({lang for n, lang, _ in found if n}) > 1:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +37,7 @@ def _plain(text: str) -> str:
 _BY_NAME = {_plain(n): lang for lang, names in NAMES.items() for n in names.split()}
 
 
+@lru_cache(maxsize=4096)
 def label_language(label: str | None) -> str | None:
     """The language that a label names by code, region, script or name, in any spelling; None for none of the eight."""
     if label is None:
