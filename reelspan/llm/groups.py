@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.runtime import cut_lineage
+from reelspan.runtime import cut_lineage, width
 
 #: Links up to which the last forest is merged in one task; more go through another level.
-FINISH_LINKS = 1_000_000
-#: Links of one local forest.
+FINISH_LINKS = 10_000
+#: Links of one local forest at most.
 LOCAL_LINKS = 500_000
-_BUCKETS = 64
+#: Groups of one size that are ranked in one task, about.
+_BUCKET_GROUPS = 100_000
 
 
 def forest(links: Iterable[tuple[str, str]]) -> dict[str, str]:
@@ -61,10 +62,9 @@ def connected_groups(links: DataFrame, *, finish_links: int = FINISH_LINKS, loca
     edges = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     n, level, steps = edges.count(), 0, []
     while True:
-        parts = max(1, -(-n // local_links)) if n > finish_links else max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 20_000)))
-        local = edges.repartition(parts).mapInPandas(_forests, "node string, root string")
-        if n <= finish_links:
-            tree = local.select(F.col("node").alias("a"), F.col("root").alias("b")).coalesce(1).mapInPandas(_forests, "node string, root string")
+        local = edges.repartition(max(1, -(-n // local_links), min(width(spark), -(-n // 1000)))).mapInPandas(_forests, "node string, root string")
+        if n <= finish_links:  # the forests go through a shuffle, so each is built by a task of its own
+            tree = local.select(F.col("node").alias("a"), F.col("root").alias("b")).repartition(1).mapInPandas(_forests, "node string, root string")
             break
         local = cut_lineage(local)
         rank = lambda c: F.xxhash64(F.col(c), F.lit(level))  # noqa: B023, E731
@@ -118,8 +118,9 @@ def assign_splits(records: DataFrame, group: str, shares: DataFrame) -> DataFram
     """``records`` with ``split_name``; all rows of one ``group`` land in one split, shares (``split_name, share``) are met by rows.
 
     Only the histogram of group sizes comes to the driver: groups of N rows have fewer than
-    sqrt(2N) distinct sizes. Groups of one size are ranked by hash in buckets whose offsets come
-    from their counts, so that no size is ordered in one task.
+    sqrt(2N) distinct sizes. Groups of one size are ranked by hash in buckets, as many as there are groups for, whose offsets come
+    from their counts, so that no size is ordered in one task. Groups with more rows than a task should get are few (at most a task's
+    share of them fits into all rows), so they are sent to the rows; only the others' rows are shuffled to their group.
 
     Cases: rows with a null group form one group.
     No shares: ``split_name`` is null. Shares that are null or not positive get nothing. Fewer groups
@@ -130,8 +131,9 @@ def assign_splits(records: DataFrame, group: str, shares: DataFrame) -> DataFram
     if not want:
         return records.withColumn("split_name", F.lit(None).cast("string"))
     spark = records.sparkSession
-    sizes = records.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_size"))
-    sizes = cut_lineage(sizes.withColumn("_b", F.pmod(F.xxhash64("_g"), F.lit(_BUCKETS))))
+    sizes = cut_lineage(records.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_size")))
+    n_groups, n_rows = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    sizes = sizes.withColumn("_b", F.pmod(F.xxhash64("_g"), F.lit(max(1, -(-n_groups // _BUCKET_GROUPS)))))
     counts = sizes.groupBy("_size").count().collect()
     ends = []
     for size, parts in allot([(r[0], r[1]) for r in counts], want).items():
@@ -147,6 +149,14 @@ def assign_splits(records: DataFrame, group: str, shares: DataFrame) -> DataFram
         .join(offsets, ["_size", "_b"]).withColumn("_k", F.col("_k") + F.col("_off") - 1)
     )
     inside = (F.col("r._size") == F.col("t._size")) & (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_to"))
-    placed = ranked.alias("r").join(table.alias("t"), inside).select(F.col("_g").alias("_group"), "split_name").alias("p")
-    mine = records.alias("m")
-    return mine.join(placed, F.col(f"m.{group}").eqNullSafe(F.col("p._group")), "left").select("m.*", "p.split_name")
+    placed = cut_lineage(ranked.alias("r").join(table.alias("t"), inside).select(F.col("_g").alias("_group"), F.col("r._size").alias("_size"), "split_name"))
+    hot_rows = max(1, -(-n_rows // (4 * width(spark))))  # so no more than 4 x width groups are hot
+    hot = F.broadcast(placed.where(F.col("_size") >= hot_rows).select("_group", "split_name").alias("h"))
+    cold = placed.where(F.col("_size") < hot_rows).select("_group", "split_name")
+    mine = records.withColumn("_row", F.struct(*records.columns)).select("_row", F.col(group).alias("_mine"))
+    sent = mine.join(hot, F.col("_mine").eqNullSafe(F.col("h._group")), "left").select("_row", "_mine", F.col("h.split_name").alias("_hot"))
+    # rows that have their split spread by hash and meet no group
+    spread = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(F.to_json("_row")), F.lit(1 << 31)) + 1).otherwise(F.lit(0))
+    sent = sent.select("_row", "_hot", F.when(F.col("_hot").isNull(), F.col("_mine")).alias("_mine"), spread.alias("_apart"))
+    met = sent.join(cold.withColumn("_apart", F.lit(0).cast("bigint")).alias("c"), F.col("_mine").eqNullSafe(F.col("c._group")) & (sent["_apart"] == F.col("c._apart")), "left")
+    return met.select("_row.*", F.coalesce("_hot", F.col("c.split_name")).alias("split_name"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspan.runtime import cut_lineage
+
 #: Items that one task packs; each such shard leaves a few containers less than full.
 SHARD_ITEMS = 50_000
 #: Tokens that a container costs besides its capacity, when sizes to open are compared.
@@ -58,7 +60,7 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int], opening_cost: floa
 
 def _packer(capacities: Sequence[int], opening_cost: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_id", "piece_no"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["_id", "_whole", "_nth", "piece_no"], kind="stable").reset_index(drop=True)
         where, capacity, held = best_fit(pdf["n_tokens"].tolist(), capacities, opening_cost)
         shard = pdf["_shard"].iloc[0] if len(pdf) else 0
         return pd.DataFrame({
@@ -75,14 +77,17 @@ def pack_items(items: DataFrame, item_id: str, size: str, *, capacities: Sequenc
     Columns: ``item_id, piece_no, n_pieces, start_token, n_tokens, container, capacity, container_tokens``. Only items over
     the largest capacity are cut: full pieces are containers of their own and are never gathered, the
     rest of such an item is packed like any item. Items are spread by hash over shards of a bounded number of
-    items, each packed by itself; more items mean more shards.
+    items, each packed by itself; more items mean more shards. The result is the same on every run and for any partitioning.
 
     Cases: items of null, zero or negative size come out once with ``n_tokens`` 0 and no container; repeated
     rows are items each; a null id is a value; no items, no rows; further columns are ignored.
     """
     largest = max(capacities)
     rows = items.select(F.col(item_id).alias("_id"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("_n"))
-    shards = max(1, -(-items.count() // shard_items))
+    # rows that repeat an id are told apart by their size and a number, so that the result doesn't depend on partitions
+    rows = cut_lineage(rows.groupBy("_id", "_n").count()).select("_id", "_n", "count")
+    shards = max(1, -(-(rows.agg(F.sum("count")).first()[0] or 0) // shard_items))
+    rows = rows.select("_id", "_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count"))).alias("_nth"))
     pieces = (
         rows.withColumn("n_pieces", F.greatest(F.ceil(F.col("_n") / largest), F.lit(1)).cast("int"))
         .withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.col("n_pieces"))))
@@ -92,11 +97,11 @@ def pack_items(items: DataFrame, item_id: str, size: str, *, capacities: Sequenc
     columns = ["_id", "piece_no", "n_pieces", "start_token", "n_tokens"]
     alone = pieces.where((F.col("n_tokens") == largest) | (F.col("n_tokens") == 0)).select(
         *columns,
-        F.when(F.col("n_tokens") > 0, F.concat_ws("-", F.lit("f"), F.col("_id").cast("string"), F.col("piece_no").cast("string"), F.monotonically_increasing_id().cast("string"))).alias("container"),
+        F.when(F.col("n_tokens") > 0, F.concat_ws("-", F.lit("f"), F.col("_id").cast("string"), F.col("_n").cast("string"), F.col("_nth").cast("string"), F.col("piece_no").cast("string"))).alias("container"),
         F.when(F.col("n_tokens") > 0, F.lit(largest)).cast("bigint").alias("capacity"),
         F.when(F.col("n_tokens") > 0, F.col("n_tokens")).cast("bigint").alias("container_tokens"),
     )
-    rest = pieces.where((F.col("n_tokens") < largest) & (F.col("n_tokens") > 0)).select(*columns, F.pmod(F.xxhash64("_id", "piece_no", F.monotonically_increasing_id()), F.lit(shards)).alias("_shard"))
+    rest = pieces.where((F.col("n_tokens") < largest) & (F.col("n_tokens") > 0)).select(*columns, F.col("_n").alias("_whole"), "_nth", F.pmod(F.xxhash64("_id", "_n", "_nth", "piece_no"), F.lit(shards)).alias("_shard"))
     kind = items.schema[item_id].dataType.simpleString()
     packed = rest.groupBy("_shard").applyInPandas(_packer(tuple(capacities), opening_cost), f"_id {kind}, piece_no int, n_pieces int, start_token bigint, n_tokens bigint, container string, capacity bigint, container_tokens bigint")
     return alone.unionByName(packed).withColumnRenamed("_id", item_id)

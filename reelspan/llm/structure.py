@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -119,17 +121,36 @@ def split_text(text: str, limit: int, overlap: int = 1) -> list[tuple[str, int,
 
 
 def word_times(words: list[str], timed: list[dict] | None) -> list[tuple[float | None, float | None]]:
-    """Times of each word of the text, in order; words that are missing among the timed ones have none."""
+    """Times of each word of the text, in order; words that are missing among the timed ones have none.
+
+    Where the two differ, whichever side comes to the other's word sooner is passed over, however far that is."""
     timed = [t for t in (timed if timed is not None else []) if t is not None and t["word"] is not None]
-    out: list[tuple[float | None, float | None]] = []
-    at = 0
-    for word in words:
-        hit = next((k for k in range(at, min(at + 8, len(timed))) if timed[k]["word"].strip() == word), None)
-        if hit is None:
-            out.append((None, None))
+    said = [t["word"].strip() for t in timed]
+    places: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+    for where, side in zip(places, (words, said), strict=True):
+        for k, word in enumerate(side):
+            where.setdefault(word, []).append(k)
+
+    def steps(where: dict[str, list[int]], word: str, at: int) -> float:
+        """How far it is to the next place of a word."""
+        found = where.get(word, ())
+        k = bisect_left(found, at)
+        return found[k] - at if k < len(found) else math.inf
+
+    out: list[tuple[float | None, float | None]] = [(None, None)] * len(words)
+    i = j = 0
+    while i < len(words) and j < len(said):
+        if words[i] == said[j]:
+            out[i] = (timed[j]["start_s"], timed[j]["end_s"])
+            i, j = i + 1, j + 1
+            continue
+        text, clock = steps(places[0], said[j], i), steps(places[1], words[i], j)
+        if text == clock == math.inf:
+            i, j = i + 1, j + 1
+        elif clock <= text:
+            j += int(clock)
         else:
-            out.append((timed[hit]["start_s"], timed[hit]["end_s"]))
-            at = hit + 1
+            i += int(text)
     return out
 
 

@@ -69,6 +69,19 @@ def test_groups_stay_whole(spark):
     assert n == {"train": 800, "validation": 100, "test": 100}
 
 
+def test_hot_groups_go_with_their_rows(spark):
+    rows = [(k, "hot" if k % 3 == 0 else None if k % 3 == 1 else f"g{k}") for k in range(3000)]
+    shares = spark.createDataFrame([("train", 0.6), ("test", 0.4)], "split_name string, share double")
+    out = assign_splits(spark.createDataFrame(rows, "id long, grp string"), "grp", shares).collect()
+    assert sorted(r.id for r in out) == list(range(3000))
+    by = defaultdict(set)
+    for r in out:
+        by[r.grp].add(r.split_name)
+    assert all(len(x) == 1 and None not in x for x in by.values())
+    n = sum(r.split_name == "train" for r in out)
+    assert 1700 <= n <= 2100
+
+
 def test_no_rows_and_no_shares(spark):
     df = spark.createDataFrame([], "id long, grp string")
     shares = spark.createDataFrame([("train", 1.0)], "split_name string, share double")

@@ -46,6 +46,13 @@ def test_items_are_whole(spark):
     assert pack_items(spark.createDataFrame([], "doc_id long, size long"), "doc_id", "size").count() == 0
 
 
+def test_packing_does_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.randrange(150), rng.choice([7, 30, 90, 400, 700])) for _ in range(400)], "doc_id long, size long")
+    rows = lambda d: sorted((tuple(r) for r in pack_items(d, "doc_id", "size", shard_items=50).collect()), key=repr)
+    assert rows(df.repartition(1)) == rows(df.repartition(7, "size"))
+
+
 def test_tokens(spark):
     texts = ["中文 ab12,x", "ツアー。", None, "", "a\u3000b\u00a0c", "😀é e\u0301", "naïve-test"]
     got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(token_count(F.col("t")).alias("n")).collect()]

@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reelspan.llm.structure import boundaries, split_oversized, split_text
+from reelspan.llm.structure import boundaries, split_oversized, split_text, word_times
 
 ITEM = "item_kind string, video_id string, item_id long, version long, text string, words array<struct<word string, start_s double, end_s double, confidence double>>, piece string"
 
@@ -63,3 +63,10 @@ def test_items(spark):
 def test_very_long_text():
     pieces = split_text("word, " * 50_000, 160)
     assert len(pieces) > 1000 and max(len(p) for p, *_ in pieces) <= 160
+
+
+def test_times_go_on_after_any_number_of_unmatched_words():
+    timed = [{"word": w, "start_s": float(k), "end_s": k + 0.5} for k, w in enumerate(["one", *(f"noise{x}" for x in range(40)), "two", "three", "four"])]
+    assert [t[0] for t in word_times(["one", "two", *(f"gone{x}" for x in range(30)), "three", "four"], timed)] == [0.0, 41.0, *[None] * 30, 42.0, 43.0]
+    assert word_times(["a"], None) == [(None, None)] and word_times([], timed) == []
+    assert [t[0] for t in word_times(["x", "one", "z", "two"], timed[:1] + timed[41:])] == [None, 0.0, None, 41.0]
