@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reelspan.llm.terms import AROUND, deletions, edits, forms, map_terms, tokens
+from reelspan.llm.terms import AROUND, deletions, edits, forms, map_terms, meeting_keys, tokens
 
 REF = "list_kind string, canonical string, form string"
 ENTRY = "entry_id long, list_kind string, surface_form string, canonical string"
@@ -96,3 +96,31 @@ def test_cases(spark, refs):
     hit = "Lona Repita" if refs else "(unmatched)"
     assert got == [(0, hit), (1, hit), (1, hit), (4, "(unmatched)"), (5, "(unmatched)"), (6, "(unmatched)")]
     assert map_terms(spark.createDataFrame([], ENTRY), spark.createDataFrame(refs, REF)).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcd", min_size=46, max_size=70), st.lists(st.tuples(st.integers(0, 69), st.sampled_from("abcx"), st.integers(0, 3)), max_size=2))
+def test_long_words_within_two_edits_share_a_key(word, changes):
+    other = word
+    for at, c, how in changes:
+        at = min(at, len(other) - 1)
+        other = [other[:at] + other[at + 1 :], other[:at] + c + other[at:], other[:at] + c + other[at + 1 :], other[:at] + other[at + 1 : at + 2] + other[at : at + 1] + other[at + 2 :]][how]
+    assert set(meeting_keys(word, own=False)) & set(meeting_keys(other, own=True))
+    assert set(meeting_keys(other, own=False)) & set(meeting_keys(word, own=True))
+
+
+def test_long_tokens_missing_tokens_and_ranking(spark):
+    long = "donaudampfschifffahrtsgesellschaftskapitaensmuetzenabzeichen"
+    refs = [("glossary", n, n) for n in (f"{long} verein", "northern silver parade", "silver parade", "marble mirror", "marble garden", "quiet garden", "loud garden", "open garden")]
+    typed = {1: f"{long[:30]}x{long[31:]} verein", 2: "northern parade", 3: "northern silver parade", 4: "silver parade", 5: "marble quiet gardenn", 6: "northern", 7: f"{long[:-9]} verein"}
+    got = {r.entry_id: (r.canonical, r.score) for r in map_terms(spark.createDataFrame([(k, "glossary", v, "") for k, v in typed.items()], ENTRY), spark.createDataFrame(refs, REF)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: f"{long} verein", 2: "northern silver parade", 3: "northern silver parade", 4: "silver parade", 5: "quiet garden", 6: "(unmatched)", 7: "(unmatched)"}
+    assert got[3][1] == got[4][1] == 1.0 and 0.75 <= got[2][1] < 1 and got[1][1] > 0.98
+
+
+def test_soft_tfidf_ranks_before_edits(spark):
+    """Of two admitted entries the one whose rarer word is said wins, though the other is spelled without a mistake."""
+    refs = [("glossary", n, n) for n in ("zuvotal parade", "silver parade", "silver garden", "silver mirror", "silver tunnel", "silver orchard")]
+    rows = [(1, "glossary", "zuvotel parade silver", "")]
+    got = map_terms(spark.createDataFrame(rows, ENTRY), spark.createDataFrame(refs, REF)).first()
+    assert got.canonical == "zuvotal parade" and got.n_edits == 1
