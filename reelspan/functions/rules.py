@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from reelspan.functions.text import BLANK
 
-# Function words at the edges of source fragments, open ends of Chinese targets, discourse markers.
+# Function words at the edges of source fragments, open ends of Chinese targets.
 OPEN_END_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "his", "in", "into", "of", "on", "the", "to", "with")
-CONTINUATION_WORDS = ("and", "because", "but", "or", "so", "that", "then", "when", "which", "while", "who", "yet")
+CONTINUATION_WORDS = ("and", "as", "because", "but", "for", "from", "how", "i", "if", "of", "or", "that", "then", "to", "when", "which", "while", "who", "with")
 OPEN_TARGET_ENDS = ("，", "、", "；", "和", "与", "及", "并", "而", "但", "被", "把", "在", "从", "对", "向", "为", "由", "是", "以", "的")
-DISCOURSE_MARKERS = ("well", "yeah", "okay", "ok", "oh", "hey", "um", "uh", "you know", "i mean", "all right", "alright")
 # English words that a Chinese target should not keep, scripts it should not hold (first and last code points), signs of broken encoding.
 LEFT_MARKERS = (
     "actually", "again", "alright", "and", "anyway", "basically", "because", "but", "cause", "exactly", "honestly", "i", "i'd", "i'll", "i'm", "i've", "im", "just", "like", "literally", "maybe",

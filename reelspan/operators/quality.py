@@ -31,7 +31,7 @@ def risk_codes(source: Column, target: Column, start_ms: Column, end_ms: Column,
         ("target_cps_very_high", 2, zh & (cps >= max_cps * 1.25)),
         ("target_line_long", 1, zh & (R.visible_length(t) > max_chars)),
     ]
-    return _codes(found)
+    return F.concat(_codes(found), text_codes(source, target))
 
 
 def text_codes(source: Column, target: Column) -> Column:
@@ -67,7 +67,7 @@ def source_reasons(df: DataFrame) -> DataFrame:
     return df.withColumn("reasons", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in found])))
 
 
-#: Points of each reason in a span's score.
+# Points of each reason in a span's score.
 REASON_POINTS = {"ends_with_function_word": 3, "short_open_fragment": 3, "internal_sentence_boundary": 2, "starts_with_continuation": 2, "open_clause": 1}
 
 

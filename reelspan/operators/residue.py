@@ -11,7 +11,11 @@ from reelspan.functions import rules as R
 BASE_SCORES = {"explicit_preserve": 100, "code_or_identifier": 94, "abbreviation": 78, "glossary_soft_preserve": 62, "proper_name": 55, "single_title_word": 35, "known_translate_entity": 25, "function_or_discourse": 0, "ordinary_english": 15}
 PRESERVE, REVIEW = 85, 70
 # Scripts that a Chinese or source text should not hold, as first and last code points.
-UNWANTED_SCRIPTS = {"Hebrew": (0x0590, 0x05FF), "Arabic": (0x0600, 0x06FF), "Devanagari": (0x0900, 0x097F), "Bengali": (0x0980, 0x09FF), "Thai": (0x0E00, 0x0E7F), "Lao": (0x0E80, 0x0EFF), "Hangul": (0xAC00, 0xD7AF)}
+UNWANTED_SCRIPTS = {
+    "Greek": (0x0370, 0x03FF), "Cyrillic": (0x0400, 0x052F), "Hebrew": (0x0590, 0x05FF), "Arabic": (0x0600, 0x06FF), "Syriac": (0x0700, 0x074F), "Thaana": (0x0780, 0x07BF), "Devanagari": (0x0900, 0x097F),
+    "Bengali": (0x0980, 0x09FF), "Gurmukhi": (0x0A00, 0x0A7F), "Gujarati": (0x0A80, 0x0AFF), "Oriya": (0x0B00, 0x0B7F), "Tamil": (0x0B80, 0x0BFF), "Telugu": (0x0C00, 0x0C7F), "Kannada": (0x0C80, 0x0CFF),
+    "Malayalam": (0x0D00, 0x0D7F), "Thai": (0x0E00, 0x0E7F), "Lao": (0x0E80, 0x0EFF), "Hangul Jamo": (0x1100, 0x11FF), "Hangul": (0xAC00, 0xD7AF),
+}
 
 CANDIDATE = r"[A-Za-z][A-Za-z0-9_+./\\'-]*(?: [A-Za-z][A-Za-z0-9_+./\\'-]*)*"
 
@@ -35,7 +39,7 @@ def residue(segments: DataFrame, glossary: DataFrame, entities: DataFrame) -> Da
     words = F.size(F.split("candidate", " "))
     category = (
         F.when(F.col("k") == 3, "known_translate_entity").when(F.col("k") == 1, "explicit_preserve").when(F.rlike("candidate", F.lit(r"[0-9_/\\]|[A-Za-z]\.[A-Za-z]|[a-z][A-Z]")), "code_or_identifier")
-        .when(F.col("k") == 2, "glossary_soft_preserve").when((words == 1) & F.col("key").isin(*R.OPEN_END_WORDS, *R.CONTINUATION_WORDS, *R.DISCOURSE_MARKERS), "function_or_discourse")
+        .when(F.col("k") == 2, "glossary_soft_preserve").when((words == 1) & F.col("key").isin(*R.OPEN_END_WORDS, *R.CONTINUATION_WORDS, *R.LEFT_MARKERS), "function_or_discourse")
         .when((words == 1) & F.rlike("candidate", F.lit("^[A-Z][A-Z0-9.-]{1,8}$")), "abbreviation").when((words > 1) & ~F.rlike("candidate", F.lit("(^| )[^A-Z]")), "proper_name")
         .when((words == 1) & F.rlike("candidate", F.lit("^[A-Z]")), "single_title_word").otherwise("ordinary_english")
     )

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions import rules as R
-from reelspan.operators.quality import risk_codes, text_codes
-from reelspan.operators.sequences import islands, neighbours, renumber
+from reelspan.operators.quality import risk_codes
+from reelspan.operators.sequences import islands, renumber, running_max
 
 
 @dataclass(frozen=True)
@@ -172,10 +172,10 @@ def retime(rows: list[dict], rules: SubtitleRules) -> list[dict]:
 
 
 def _by_island(df: DataFrame, gap_ms: int) -> DataFrame:
-    """``df`` with ``island``: rows that start within ``gap_ms`` of the end before them stay together."""
-    near = neighbours(df, ["video_id"], ["end_ms"], after=False)
-    opens = F.coalesce(F.col("start_ms") - F.col("prev.end_ms") > gap_ms, F.lit(True))
-    return islands(near.withColumn("_opens", opens).drop("prev"), ["video_id"], F.col("_opens"), "island").drop("_opens")
+    """``df`` with ``island``: rows that start within ``gap_ms`` of the furthest end before them stay together."""
+    near = running_max(df, ["video_id"], F.col("end_ms"), "_reach")
+    opens = F.coalesce(F.col("start_ms") - F.col("_reach") > gap_ms, F.lit(True))
+    return islands(near.withColumn("_opens", opens).drop("_reach"), ["video_id"], F.col("_opens"), "island").drop("_opens")
 
 
 def _fold(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -233,9 +233,9 @@ def reading_groups(segments: DataFrame, rules: ReadingRules = ReadingRules(), *,
         for k, row in enumerate(rows):
             own.append(row)
             after = rows[k + 1] if k + 1 < len(rows) else None
-            said = " ".join(r["text"] for r in own)
-            if after is None or close_group(said, own[-1]["end_ms"] - own[0]["start_ms"], max(0, after["start_ms"] - row["end_ms"]), after["end_ms"] - after["start_ms"], after["end_ms"] - own[0]["start_ms"], rules):
-                groups.append((row["video_id"], [r["id"] for r in own], own[0]["start_ms"], own[-1]["end_ms"], said))
+            tail = row["text"] if re.search(r"\w", row["text"]) else " ".join(r["text"] for r in own)  # only the end of the text is looked at
+            if after is None or close_group(tail, own[-1]["end_ms"] - own[0]["start_ms"], max(0, after["start_ms"] - row["end_ms"]), after["end_ms"] - after["start_ms"], after["end_ms"] - own[0]["start_ms"], rules):
+                groups.append((row["video_id"], [r["id"] for r in own], own[0]["start_ms"], own[-1]["end_ms"], " ".join(r["text"] for r in own)))
                 own = []
         return pd.DataFrame(groups, columns=["video_id", "segment_ids", "start_ms", "end_ms", "text"])
 
@@ -316,7 +316,7 @@ def difficult_spans(segments: DataFrame, *, least: int = 2, most: int = 10, isla
     Spans that touch are one, cut to ``most`` segments: a segment with risk that reaches back to a span that is already full opens none of its own.
     """
     texts = segments.withColumns({"source_text": R.squash(F.col("source_text")), "target_text": R.squash(F.col("target_text"))})
-    codes = F.concat(risk_codes(F.col("source_text"), F.col("target_text"), F.col("start_ms"), F.col("end_ms")), text_codes(F.col("source_text"), F.col("target_text")))
+    codes = risk_codes(F.col("source_text"), F.col("target_text"), F.col("start_ms"), F.col("end_ms"))
     rows = texts.where("start_ms IS NOT NULL AND end_ms > start_ms").select(
         "video_id", "id", "start_ms", "end_ms", R.ends_sentence(F.col("source_text")).alias("ended"), R.opens_with_continuation(F.col("source_text")).alias("goes_on"),
         F.array_join(F.transform(codes, lambda c: F.concat_ws(":", c.code, c.weight)), ",").alias("codes"),

@@ -73,6 +73,17 @@ def running_last(df: DataFrame, entity: list[str], value: Column, name: str, *,
     return joined.withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carry"))).drop("_shard", "_v", "_carry")
 
 
+def running_max(df: DataFrame, entity: list[str], value: Column, name: str, *, order: tuple[str, ...] = ORDER, shard_ms: int = SHARD_MS) -> DataFrame:
+    """``df`` with ``name``: the greatest value before each row of the entity, null for the first."""
+    inside = Window.partitionBy(*entity, "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = _sharded(df.drop(name), order, shard_ms).withColumn("_v", value)
+    along = Window.partitionBy(*entity).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    most = out.groupBy(*entity, "_shard").agg(F.max("_v").alias("_m")).select(*entity, "_shard", F.max("_m").over(along).alias("_carry"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in entity] + [F.col("l._shard") == F.col("r._shard")]
+    joined = out.alias("l").join(most.alias("r"), same).select("l.*", "r._carry")
+    return joined.withColumn(name, F.greatest(F.max("_v").over(inside), F.col("_carry"))).drop("_shard", "_v", "_carry")
+
+
 def islands(df: DataFrame, entity: list[str], starts: Column, name: str, *, order: tuple[str, ...] = ORDER, shard_ms: int = SHARD_MS) -> DataFrame:
     """``df`` with ``name``: the number of the island each row belongs to, counted from 1; ``starts`` says which rows open one (the first always does)."""
     return running_sum(df, entity, F.when(starts, 1).otherwise(0), name, order=order, shard_ms=shard_ms)

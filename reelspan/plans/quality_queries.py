@@ -174,6 +174,12 @@ _ORD = "ORDER BY start_ms, end_ms, id"
 _OT = "(" + "|".join(R.OPEN_TARGET_ENDS) + ")$"
 _NUM = lambda c: f"regexp_extract_all(coalesce({c}, ''), '\\d+(?:[.,]\\d+)?')"
 
+_LEFT = "|".join(w.replace("'", "''") for w in R.LEFT_MARKERS)
+_POLLUTED = "regexp_matches(t, '[" + "".join(f"\\x{{{a:04x}}}-\\x{{{b:04x}}}" for a, b in R.TARGET_SCRIPTS) + "]|" + R.BROKEN + f"') OR len(list_distinct(regexp_extract_all(t, '[{R.BROKEN_HINTS}]'))) >= 4"
+_LEAVES = f"zh AND regexp_matches(replace(replace(t, '`', ''''), '’', ''''), '(?i)(?:^|[^A-Za-z0-9_.-])(?:{_LEFT})(?:$|[^A-Za-z0-9_-])')"
+_SAID = f"list_filter(list_transform(regexp_split_to_array(s, '[.!?。！？]+'), lambda p: list_transform(regexp_extract_all(p, '{_W}'), lambda w: regexp_replace(lower(w), '''+$', ''))), lambda p: len(p) BETWEEN 2 AND 6)"
+_REPEATS = f"regexp_matches(s, '[.!?。！？].*[A-Za-z]') AND len(list_distinct({_SAID})) < len({_SAID})"
+
 _RISK = f"""
 SELECT video_id, id, unnest([
   CASE WHEN {_CONT('s')} THEN {{'code': 'source_starts_with_continuation', 'weight': 1}} END,
@@ -184,7 +190,11 @@ SELECT video_id, id, unnest([
   CASE WHEN len(list_filter({_NUM('s')}, lambda x: NOT list_contains({_NUM('t')}, x))) > 0 AND {_VL('s')} >= 12 THEN {{'code': 'number_mismatch', 'weight': 2}} END,
   CASE WHEN zh AND cps > 18 AND cps < 22.5 THEN {{'code': 'target_cps_high', 'weight': 1}} END,
   CASE WHEN zh AND cps >= 22.5 THEN {{'code': 'target_cps_very_high', 'weight': 2}} END,
-  CASE WHEN zh AND {_VL('t')} > 28 THEN {{'code': 'target_line_long', 'weight': 1}} END]) AS r
+  CASE WHEN zh AND {_VL('t')} > 28 THEN {{'code': 'target_line_long', 'weight': 1}} END,
+  CASE WHEN {_POLLUTED} THEN {{'code': 'target_text_pollution', 'weight': 6}} END,
+  CASE WHEN {_LEAVES} THEN {{'code': 'target_untranslated_discourse_marker', 'weight': 6}} END,
+  CASE WHEN {_LEAVES} THEN {{'code': 'target_short_english_leak', 'weight': 7}} END,
+  CASE WHEN {_REPEATS} THEN {{'code': 'source_repeated_short_phrase', 'weight': 4}} END]) AS r
 FROM (SELECT *, {_VL('t')} / (greatest(end_ms - start_ms, 1) / 1000.0) AS cps, {_ZH('t')} AS zh FROM (SELECT video_id, id, start_ms, end_ms, {_SQ('source_text')} AS s, {_SQ('target_text')} AS t FROM seg))"""
 
 _CHECKS = f"""

@@ -23,9 +23,9 @@ def residue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unwanted_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with unwanted scripts or broken encoding."""
-    found = E.unwanted_scripts(F.col("text"))
-    return read(spark, sf_dir, "documents", "doc_id", "text").where(F.size(found) > 0).select("doc_id", F.array_join(found, ",").alias("scripts"))
+    """Targets with unwanted scripts or broken encoding."""
+    found = E.unwanted_scripts(F.col("target_text"))
+    return T.segments(spark, sf_dir).where(F.size(found) > 0).select("video_id", "id", F.array_join(found, ",").alias("scripts"))
 
 
 def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEY = lambda c: f"regexp_replace({_SQ(f'lower({c})')}, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')"
-_SMALL = ", ".join(f"'{w}'" for w in dict.fromkeys((*R.OPEN_END_WORDS, *R.CONTINUATION_WORDS, *R.DISCOURSE_MARKERS)))
+_SMALL = ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys((*R.OPEN_END_WORDS, *R.CONTINUATION_WORDS, *R.LEFT_MARKERS)))
 _CAND = r"[A-Za-z][A-Za-z0-9_+./\\''-]*(?: [A-Za-z][A-Za-z0-9_+./\\''-]*)*"
 _BASE = " ".join(f"WHEN '{c}' THEN {v}" for c, v in E.BASE_SCORES.items())
 _RESIDUE = f"""
@@ -55,14 +55,14 @@ g AS (SELECT *, CASE WHEN k = 3 THEN 'known_translate_entity' WHEN k = 1 THEN 'e
 s AS (SELECT *, greatest(0, (CASE category {_BASE} END) - CASE WHEN w = 1 AND category NOT IN ('explicit_preserve', 'code_or_identifier') THEN 25 ELSE 0 END) AS s0 FROM g),
 t AS (SELECT *, CAST(CASE WHEN NOT coalesce(contains(lower(source_text), lower(candidate)), false) AND category <> 'explicit_preserve' THEN least(s0, 50) ELSE s0 END AS INT) AS score FROM s),
 res AS (SELECT video_id, id, candidate, category, score, CASE WHEN score >= 85 THEN 'preserve' WHEN score >= 70 THEN 'review' ELSE 'translate' END AS decision FROM t)"""
-_SCRIPTS = ", ".join(f"CASE WHEN regexp_matches(text, '[\\x{{{a:04x}}}-\\x{{{b:04x}}}]') THEN '{n}' END" for n, (a, b) in E.UNWANTED_SCRIPTS.items())
+_SCRIPTS = ", ".join(f"CASE WHEN regexp_matches(target_text, '[\\x{{{a:04x}}}-\\x{{{b:04x}}}]') THEN '{n}' END" for n, (a, b) in E.UNWANTED_SCRIPTS.items())
 
 QUERIES = {f.__name__: f for f in (english_residue, residue_report, unwanted_scripts, repeated_phrases, merged_terms)}
 
 SQL = {
     "english_residue": f"{_RESIDUE} SELECT * FROM res",
     "residue_report": f"{_RESIDUE} SELECT category, decision, count(*) AS n, count(DISTINCT candidate) AS n_candidates FROM res GROUP BY 1, 2",
-    "unwanted_scripts": f"WITH s AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '\\x{{fffd}}|锟斤拷|â€') THEN 'broken encoding' END, {_SCRIPTS}], lambda x: x IS NOT NULL) AS f FROM documents) SELECT doc_id, array_to_string(f, ',') AS scripts FROM s WHERE len(f) > 0",
+    "unwanted_scripts": f"WITH {T.SEGMENTS_SQL}, s AS (SELECT video_id, id, list_filter([CASE WHEN regexp_matches(target_text, '\\x{{fffd}}|锟斤拷|â€') THEN 'broken encoding' END, {_SCRIPTS}], lambda x: x IS NOT NULL) AS f FROM seg) SELECT video_id, id, array_to_string(f, ',') AS scripts FROM s WHERE len(f) > 0",
     "repeated_phrases": f"""WITH {T.SEGMENTS_SQL}, p AS (SELECT video_id, id, list_filter(list_transform(regexp_split_to_array(coalesce(source_text, ''), '[.!?;,。！？；，]+'), lambda x: trim(regexp_replace(lower(x), '[^\\pL\\pN]+', ' ', 'g'))), lambda x: x <> '' AND len(string_split(x, ' ')) BETWEEN 2 AND 6) AS ps FROM seg),
 r AS (SELECT video_id, id, list_sort(list_distinct(list_filter(ps, lambda x: len(list_filter(ps, lambda y: y = x)) > 1))) AS rs FROM p) SELECT video_id, id, array_to_string(rs, '|') AS phrases FROM r WHERE len(rs) > 0""",
     "merged_terms": f"""WITH t AS (SELECT canonical, zh, confidence, list_concat(coalesce(aliases, []), coalesce(bad_aliases, [])) AS aliases, 1 AS rank FROM glossary_terms UNION ALL SELECT canonical_en, canonical_zh, NULL, coalesce(surface_forms, []), 2 FROM entity_rules),

@@ -7,9 +7,15 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Bytes up to which a side may be broadcast; callers measure before they hint.
-BROADCAST_BYTES = 32 << 20
+#: Rows up to which a side may be broadcast by ``small``.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, *, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than so many rows, which are counted; else as it is, for Spark to join as it does large sides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 _shipped: set[str] = set()
@@ -37,14 +43,17 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, named by the cluster in ``spark.checkpoint.dir``; only where it
-    names none (tests on one machine) a temporary one is chosen."""
+    """The folder that all executors share, named by the cluster in ``spark.checkpoint.dir``. Only where all runs on one
+    machine, as in tests, a temporary one is chosen if it names none; elsewhere that is an error, as executors would not see it."""
     ship(spark)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reelspan-checkpoint-"))
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="reelspan-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
