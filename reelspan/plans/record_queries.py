@@ -11,6 +11,7 @@ from reelspan.operators import dictionary as D
 from reelspan.operators import feedback as B
 from reelspan.operators.overlap import best_overlap
 from reelspan.operators.sequences import first_mentions
+from reelspan.plans.correction_sql import corrected_sql
 from reelspan.plans.quality_queries import _NUM, _SQ, _ZH
 from reelspan.runtime import read
 
@@ -175,6 +176,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 SQL = {
+    "alias_corrections": corrected_sql("term_entries", "w AS (SELECT unnest(bad_aliases) AS form, canonical AS replacement FROM glossary_terms)", "entry_id", "surface_form", lead="WITH "),
     "glossary_hits": f"WITH {T.SEGMENTS_SQL} SELECT video_id, id, term_id FROM seg JOIN glossary_terms ON {_HAS('source_text', 'canonical')}",
     "glossary_consistency": f"""WITH {T.SEGMENTS_SQL}, g AS (SELECT * FROM glossary_terms WHERE length(trim(canonical)) >= 3), b AS (SELECT term_id, form FROM (SELECT term_id, unnest(bad_aliases) AS form FROM g) WHERE length(trim(form)) >= 3),
 n AS (SELECT s.*, g.* EXCLUDE (confidence), {_HAS('s.target_text', 'g.canonical')} AS kept FROM seg s JOIN g ON {_HAS('s.source_text', 'g.canonical')} WHERE trim(s.target_text) <> '')
