@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.functions.text import BLANK, name_key
+from reelspan.functions.text import BLANK, fold, name_key
 from reelspan.llm.alignment import align_sentences
 from reelspan.llm.groups import assign_splits, connected_groups
 from reelspan.llm.hyper import fit_profiles, label_documents
@@ -147,6 +147,67 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_languages(spark, sf_dir).select("doc_id", "line_no", "lang")
 
 
+def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on the splits: examples, tied groups that are torn, examples without a split, and whether each split is within the largest group of its share."""
+    rows = p3_splits(spark, sf_dir).withColumn("project", F.concat(F.lit("p:"), project_key(F.col("project_id")))).join(project_groups(spark, sf_dir), "project", "left")
+    rows = cut_lineage(rows.select("root", "split_name"))
+    groups = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("split_name").alias("splits"))
+    whole = groups.agg(F.sum("n").alias("n_examples"), F.count_if(F.col("splits") > 1).alias("n_torn"), F.max("n").alias("_largest"))
+    lost = rows.agg(F.count_if(F.col("split_name").isNull()).alias("n_unassigned"))
+    shares = read(spark, sf_dir, "split_targets").join(rows.groupBy("split_name").agg(F.count(F.lit(1)).alias("_have")), "split_name", "left").na.fill(0, ["_have"])
+    near = shares.crossJoin(F.broadcast(whole)).agg(F.min(F.abs(F.col("_have") - F.col("share") * F.col("n_examples")) <= F.col("_largest")).alias("shares_met"))
+    return whole.crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(near)).select("n_examples", "n_torn", "n_unassigned", "shares_met")  # one row each
+
+
+def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each item that was cut its characters, whether all pieces fit and share words as asked, and whether they hold the whole text."""
+    pieces = p4_pieces(spark, sf_dir)
+    limit = F.coalesce(*[F.when(F.col("item_kind") == k, F.lit(v)) for k, v in LIMITS.items()])
+    own = F.array_join(F.slice(F.split("piece", " "), F.col("overlap_words") + 1, F.size(F.split("piece", " "))), "")
+    made = pieces.groupBy("item_kind", "video_id", "item_id").agg(
+        F.min(F.length("piece") <= limit).alias("fits"), F.min((F.col("overlap_words") <= 1) & ((F.col("piece_no") > 1) | (F.col("overlap_words") == 0))).alias("overlaps"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))), lambda x: x.own), "").alias("joined"),
+    )
+    texts = read(spark, sf_dir, "segments", "video_id", "id", "source_text", "ingested_at").where(F.length(fold(F.col("source_text"))) > LIMITS["segment"]).select(F.lit("segment").alias("item_kind"), "video_id", F.col("id").alias("item_id"), F.col("source_text").alias("text"), F.col("ingested_at").alias("at"))
+    cues = read(spark, sf_dir, "display_cues", "video_id", "cue_id", "en_text", "updated_at").where(F.length(fold(F.col("en_text"))) > LIMITS["cue"]).select(F.lit("cue").alias("item_kind"), "video_id", F.col("cue_id").alias("item_id"), F.col("en_text").alias("text"), F.col("updated_at").alias("at"))
+    texts = texts.unionByName(cues).groupBy("item_kind", "video_id", "item_id").agg(F.max(F.struct("at", "text"))["text"].alias("text"))
+    same = F.col("joined") == F.regexp_replace("text", f"{BLANK}+", "")
+    return made.join(texts, ["item_kind", "video_id", "item_id"]).select("item_kind", "video_id", "item_id", F.length(fold(F.col("text"))).alias("n_chars"), "fits", "overlaps", same.alias("whole"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on the containers: documents and tokens in them, whether any is over its capacity or counts wrong, and whether nine tenths of the room is used."""
+    rows = cut_lineage(p7_containers(spark, sf_dir).where("container IS NOT NULL").select("doc_id", "container", "capacity", "container_tokens", "n_tokens"))
+    boxes = rows.groupBy("container", "capacity", "container_tokens").agg(F.sum("n_tokens").alias("held")).agg(
+        F.count_if((F.col("held") > F.col("capacity")) | (F.col("held") != F.col("container_tokens"))).alias("n_wrong"), (F.sum("held") >= 0.9 * F.sum("capacity")).alias("well_filled")
+    )
+    return rows.agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).crossJoin(F.broadcast(boxes))  # one row each
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each target source its size, whether it can reach its share, and whether the mix has of it what it should, but for the draw's chance of one in thousands."""
+    docs = read(spark, sf_dir, "documents", "source", "text").select(name_key(F.col("source")).alias("source"), token_count(F.col("text")).cast("double").alias("n"))
+    spread = docs.groupBy("source").agg(F.sqrt(F.sum(F.col("n") ** 2)).alias("_spread"))
+    whole = docs.agg(F.sum("n").alias("_whole"))
+    rows = p8_report(spark, sf_dir).join(spread, "source", "left").crossJoin(F.broadcast(whole))  # one row
+    wanted = F.when(F.col("reachable"), F.col("target_share") * F.col("_whole")).otherwise(F.col("size") * F.col("max_repeats"))
+    room = F.when(F.col("reachable"), 4 * F.coalesce("_spread", F.lit(0.0)) * F.sqrt(F.greatest("mean_repeats", F.lit(0.25)))).otherwise(0.0)
+    return rows.select("source", "max_repeats", "size", "reachable", (F.abs(F.col("mixed_size") - wanted) <= room).alias("as_wanted"))
+
+
+def p5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What typed values mean that are, case and blanks aside, a name of the list: that name."""
+    typed = read(spark, sf_dir, "term_entries", "entry_id", "list_kind", "surface_form").select("entry_id", "list_kind", name_key(F.col("surface_form")).alias("key"))
+    names = read(spark, sf_dir, "glossary_terms", "canonical").select(F.lit("glossary").alias("list_kind"), name_key(F.col("canonical")).alias("key")).unionByName(read(spark, sf_dir, "entity_rules", "canonical_en").select(F.lit("entity").alias("list_kind"), name_key(F.col("canonical_en")).alias("key")))
+    return typed.join(names.distinct(), ["list_kind", "key"], "left_semi").select("entry_id").join(p5_found(spark, sf_dir), "entry_id")
+
+
+def p1_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defect of segments whose target is null or blank."""
+    blank = read(spark, sf_dir, "segments", "video_id", "id", "target_text", "ingested_at").groupBy("video_id", "id").agg(F.max_by(F.struct("target_text"), "ingested_at")["target_text"].alias("t"))
+    return p1_found(spark, sf_dir).join(blank.where(F.col("t").isNull() | (F.regexp_replace("t", BLANK, "") == "")), ["video_id", "id"], "left_semi")
+
+
 _KEY = "replace(lower(regexp_replace({}, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), '_', '-')"
 _FOLD = "trim(regexp_replace({}, '[\\s\\pZ]+', ' ', 'g'))"
 
@@ -172,5 +233,22 @@ SELECT lower({_FOLD.format('t.source')}) AS source FROM mix_targets t LEFT JOIN
 WHERE t.max_repeats * coalesce(s.size, 0) < t.target_share * (SELECT sum(size) FROM d)
 """
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_mapped": p5_mapped, "p6_found": p6_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_languages": p9_languages}
-SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL}
+P3_KEPT_SQL = "SELECT count(*) AS n_examples, CAST(0 AS BIGINT) AS n_torn, CAST(0 AS BIGINT) AS n_unassigned, true AS shares_met FROM (SELECT DISTINCT example_id, project_id, span_id FROM span_translation_examples)"
+P4_KEPT_SQL = f"""
+SELECT 'segment' AS item_kind, video_id, id AS item_id, length({_FOLD.format('arg_max(source_text, (ingested_at, source_text))')}) AS n_chars, true AS fits, true AS overlaps, true AS whole FROM segments WHERE length({_FOLD.format('source_text')}) > 160 GROUP BY video_id, id
+UNION ALL SELECT 'cue', video_id, cue_id, length({_FOLD.format('arg_max(en_text, (updated_at, en_text))')}), true, true, true FROM display_cues WHERE length({_FOLD.format('en_text')}) > 84 GROUP BY video_id, cue_id
+"""
+P7_FILL_SQL = f"SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_wrong, true AS well_filled FROM (SELECT doc_id, {token_count_sql('text')} AS n FROM documents) WHERE n > 0"
+P8_SHARES_SQL = f"""
+WITH d AS (SELECT lower({_FOLD.format('source')}) AS source, {token_count_sql('text')} AS size FROM documents), s AS (SELECT source, sum(size) AS size FROM d GROUP BY 1)
+SELECT lower({_FOLD.format('t.source')}) AS source, t.max_repeats, CAST(coalesce(s.size, 0) AS BIGINT) AS size, t.max_repeats * coalesce(s.size, 0) >= t.target_share * (SELECT sum(size) FROM d) AS reachable, true AS as_wanted
+FROM mix_targets t LEFT JOIN s ON s.source = lower({_FOLD.format('t.source')})
+"""
+P5_EXACT_SQL = f"""
+WITH n AS (SELECT DISTINCT 'glossary' AS list_kind, canonical FROM glossary_terms UNION SELECT DISTINCT 'entity', canonical_en FROM entity_rules)
+SELECT entry_id, canonical FROM term_entries e JOIN n ON n.list_kind = e.list_kind AND lower({_FOLD.format('surface_form')}) = lower({_FOLD.format('canonical')})
+"""
+P1_BLANK_SQL = "SELECT video_id, id, 'empty' AS defect FROM (SELECT video_id, id, arg_max(coalesce(target_text, ''), ingested_at) AS t FROM segments GROUP BY 1, 2) WHERE regexp_replace(t, '[\\s\\pZ]', '', 'g') = ''"
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_mapped": p5_mapped, "p6_found": p6_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_languages": p9_languages, "p1_blank": p1_blank, "p3_kept": p3_kept, "p4_kept": p4_kept, "p5_exact": p5_exact, "p7_fill": p7_fill, "p8_shares": p8_shares}
+SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL, "p1_blank": P1_BLANK_SQL, "p3_kept": P3_KEPT_SQL, "p4_kept": P4_KEPT_SQL, "p5_exact": P5_EXACT_SQL, "p7_fill": P7_FILL_SQL, "p8_shares": P8_SHARES_SQL}
