@@ -70,14 +70,14 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id",
 
     chance = (F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     drawn = (
-        base.where("_size > 0").withColumnRenamed("_source", "source").join(F.broadcast(table.select("source", "_steps")), "source")
+        base.where("_size > 0").withColumnRenamed("_source", "source").join(table.select("source", "_steps"), "source")
         .withColumn("_u", chance).withColumn("_times", F.expr("size(filter(_steps, s -> s <= _u))")).where("_times > 0")
     )
     mixed = drawn.select(F.col("_id").alias(doc_id), "source", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"), F.col("_size").alias("size"))
     reached = drawn.groupBy("source").agg(F.sum(F.col("_size") * F.col("_times")).alias("mixed_size"))
     total = reached.agg(F.sum("mixed_size").alias("_total"))
     report = (
-        table.drop("_steps").join(F.broadcast(reached), "source", "left").na.fill(0, ["mixed_size"]).crossJoin(F.broadcast(total))
+        table.drop("_steps").join(reached, "source", "left").na.fill(0, ["mixed_size"]).crossJoin(F.broadcast(total))
         .withColumn("actual_share", F.col("mixed_size") / F.col("_total")).drop("_total")
     )
     return mixed.orderBy(F.xxhash64(doc_id, "copy", F.lit(seed + 1)), doc_id, "copy"), report

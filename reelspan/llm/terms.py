@@ -156,7 +156,7 @@ def map_terms(entries: DataFrame, references: DataFrame, *, entry_id: str = "ent
     tokens_of = spellings.select("_kind", "canonical", "_form", F.explode("_f").alias("_ref"))
     df = tokens_of.groupBy("_kind", "_ref").agg(F.countDistinct("canonical").alias("_df"))
     whole = spellings.groupBy("_kind").agg(F.countDistinct("canonical").alias("_all"))
-    vocabulary = cut_lineage(df.join(F.broadcast(whole), "_kind").select("_kind", "_ref", F.log1p(F.col("_all") / F.col("_df")).alias("_idf"), F.log1p(F.col("_all").cast("double")).alias("_most")))  # a row for each list is broadcast
+    vocabulary = cut_lineage(df.join(whole, "_kind").select("_kind", "_ref", F.log1p(F.col("_all") / F.col("_df")).alias("_idf"), F.log1p(F.col("_all").cast("double")).alias("_most")))
     weighed = tokens_of.join(vocabulary, ["_kind", "_ref"]).groupBy("_kind", "canonical", "_form").agg(F.array_sort(F.collect_list(F.struct((-F.col("_idf")).alias("minus"), F.col("_ref").alias("ref")))).alias("_w"), F.first("_most").alias("_most"))
     posting = weighed.withColumn("_ref", F.explode(F.transform(F.slice("_w", 1, F.when(F.size("_w") > 2, 2).otherwise(1)), lambda x: x.ref)))
 
