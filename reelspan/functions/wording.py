@@ -21,7 +21,7 @@ OPEN_TAIL_WORDS = (
     "when", "while", "with",
 )
 # Words said on their own, words that may be, answers to questions.
-STRONG_PARTICLES = ("ah", "bye", "goodbye", "hello", "hey", "hi", "hmm", "huh", "mhm", "no", "nope", "oh", "ok", "okay", "ooh", "uh", "um", "wow", "yeah", "yep", "yes", "you know", "yup")
+STRONG_PARTICLES = ("ah", "all right", "alright", "hey", "hmm", "huh", "no", "nope", "oh", "ok", "okay", "uh", "um", "whoa", "wow", "yeah", "yep", "yes", "you know", "yup")
 AMBIGUOUS_PARTICLES = ("fine", "please", "right", "sure", "thanks", "well")
 QUESTION_RESPONSES = ("ok", "okay", "right", "sure")
 # Open ends of a Chinese target that say its translation was cut between segments.
